@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 from .oracles import ORACLES
 
 QUERIES = {
+    "op4_byte_bpe": bpe.query,
     "op7_vector_bin_packing": sharding.query,
 }
 
