@@ -326,7 +326,8 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
     """
     df = df.drop(out) if out in df.columns else df
     schema = df.select("*", F.lit(None).cast("array<int>").alias(out)).schema
-    at = df.columns.index(text)
+    names = [*df.columns, out]
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
@@ -335,7 +336,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
             for lo, hi in slices(texts):
                 ids, counts = bpe.encode(texts[lo:hi])
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, counts)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, lists], names=[*df.columns, out])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, lists], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -347,7 +348,8 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     """
     df = df.drop(out) if out in df.columns else df
     schema = df.select("*", F.lit(None).cast("string").alias(out)).schema
-    at = df.columns.index(ids)
+    names = [*df.columns, out]
+    at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
@@ -361,7 +363,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
                 if not keep.all():
                     row = np.repeat(np.arange(len(counts)), counts)
                     counts, flat = np.bincount(row[keep], minlength=len(counts)), flat[keep]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bpe.decode(flat, counts), pa.string())], names=[*df.columns, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bpe.decode(flat, counts), pa.string())], names=names)
 
     return df.mapInArrow(run, schema)
 
