@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, packing, sharding
 from .oracles import ORACLES
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
+    "op5_nnls_packing": packing.query,
     "op7_vector_bin_packing": sharding.query,
 }
 
