@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding
+from . import bpe, fingerprints, packing, sharding
 from .oracles import ORACLES
 
 QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op5_nnls_packing": packing.query,
+    "op10_piecewise_fingerprints": fingerprints.query,
     "op7_vector_bin_packing": sharding.query,
 }
 
