@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, packing, sharding
+from . import bpe, fingerprints, language, packing, sharding
 from .oracles import ORACLES
 
 QUERIES = {
+    "op3_string_kernels": language.query,
     "op4_byte_bpe": bpe.query,
     "op5_nnls_packing": packing.query,
     "op10_piecewise_fingerprints": fingerprints.query,
