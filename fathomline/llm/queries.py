@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, packing, sharding
+from . import bpe, fingerprints, language, packing, sharding, warc
 from .oracles import ORACLES
 
 QUERIES = {
+    "op1_warc_index_first": warc.query,
     "op3_string_kernels": language.query,
     "op4_byte_bpe": bpe.query,
     "op5_nnls_packing": packing.query,
