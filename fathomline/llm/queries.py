@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, packing, sharding, warc
+from . import bpe, fingerprints, html, language, packing, sharding, warc
 from .oracles import ORACLES
 
 QUERIES = {
     "op1_warc_index_first": warc.query,
+    "op2_site_templates": html.query,
     "op3_string_kernels": language.query,
     "op4_byte_bpe": bpe.query,
     "op5_nnls_packing": packing.query,
