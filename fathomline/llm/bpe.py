@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 #: The white space characters that the pre-tokenizer's \s stands for.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE, CUT = range(5)
 NO_RANK = np.int32(2**31 - 1)
 #: Words kept per worker before the table starts anew, and characters taken at once.
-WORDS_KEPT = 400_000
-CHARS_AT_ONCE = 1_500_000
+WORDS_KEPT = 250_000
+CHARS_AT_ONCE = 1_000_000
 
 _classes: np.ndarray | None = None
 _models: dict[str, "ByteBPE"] = {}
@@ -324,6 +324,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
     Null texts count as empty and have no ids.  Other columns pass through; a column already named
     ``out`` is replaced.  An empty table stays empty.
     """
+    small_batches(df.sparkSession)
     df = df.drop(out) if out in df.columns else df
     schema = df.select("*", F.lit(None).cast("array<int>").alias(out)).schema
     names = [*df.columns, out]
@@ -346,6 +347,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     Null ids give the empty text, as no ids do; null or unknown ids inside a list give nothing.
     """
+    small_batches(df.sparkSession)
     df = df.drop(out) if out in df.columns else df
     schema = df.select("*", F.lit(None).cast("string").alias(out)).schema
     names = [*df.columns, out]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, table
+from .shared import shuffle_partitions, small_batches, table
 
 #: Bytes in the rolling window, the smallest block, and the longest signature.
 ROLL, SMALLEST, LONGEST = 7, 3, 64
@@ -192,6 +192,7 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
     last comes the first.  A single document is its own next.  Null texts count as empty.  Repeated rows
     are documents of their own.  An empty table gives no rows.  Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def digest(rows: list[tuple]) -> pa.RecordBatch:

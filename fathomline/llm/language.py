@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import small_batches, table
 
 #: Slots of the hashed n-gram sets and the n-gram lengths.
 DIM, ORDERS = 1 << 14, (1, 2, 3, 4)
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, classifier: Classifier, text: str = "text", predic
     columns pass through; columns already named like the results are replaced.  Equal texts get equal
     results; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in (predicted, score) if c in docs.columns])
     schema = docs.select("*", F.lit("").alias(predicted), F.lit(0.0).alias(score)).schema
     names = schema.names

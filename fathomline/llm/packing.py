@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import model, slices, vocabulary_path
-from .shared import table, written
+from .shared import small_batches, table, written
 
 WINDOW = 2048
 END_ID = 1
@@ -173,6 +173,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     other.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = written(tokenized(docs, path, text, key, window, end_id), "packing")
 
     parts = written(

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, shuffle_partitions, table, written
+from .shared import fresh_path, shuffle_partitions, small_batches, table, written
 
 #: The profile of a revisit and the line ends of the format.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -86,6 +86,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     repeat that key are responses too, and null keys revisit if any row of the group has a key.  Null
     URLs leave out the header.  An empty table gives no file.  Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     rows = with_originals(pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload")), "key", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
