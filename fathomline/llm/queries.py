@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html, jaccard, language, packing, sharding, warc
+from . import bpe, fingerprints, html, jaccard, language, lines, packing, sharding, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_nnls_packing": packing.query,
     "op9_prefix_tree_join": jaccard.query,
     "op10_piecewise_fingerprints": fingerprints.query,
+    "op6_line_similarity_join": lines.query,
     "op7_vector_bin_packing": sharding.query,
 }
 
