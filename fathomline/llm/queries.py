@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, html, jaccard, language, lines, packing, sharding, warc
+from . import bpe, fingerprints, html, jaccard, language, lines, nearest, packing, sharding, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_string_kernels": language.query,
     "op4_byte_bpe": bpe.query,
     "op5_nnls_packing": packing.query,
+    "op8_vantage_point_trees": nearest.query,
     "op9_prefix_tree_join": jaccard.query,
     "op10_piecewise_fingerprints": fingerprints.query,
     "op6_line_similarity_join": lines.query,
