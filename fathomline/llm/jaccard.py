@@ -8,7 +8,7 @@ A document is the set of its 5-word shingles; documents link at a Jaccard simila
    that any partner must touch (n - ceil(0.75 n) + 1 shingles) is dealt by shingle.
 3. First every set meets the smallest set of each of its prefix lists only, so that a group of thousands
    of near copies costs one row a member and list, not one a pair.  Pairs that share too few prefix
-   shingles to reach 0.75 are dropped by count; the others are verified.
+   shingles to reach 0.75 are dropped by count; of the others, that with most in common is verified.
 4. Verification gathers the partners of one set in blocks.  Their ordered sets form a trie (in sorted
    order, each shares the nodes of its common prefix with the one before); it is walked with the
    overlaps so far, and branches whose remaining lengths can't reach the bound are pruned.
@@ -258,7 +258,7 @@ def _possible(pairs: DataFrame) -> DataFrame:
     """a, b, na, nb, a row per shared prefix shingle, to the pairs that share enough to reach 0.75."""
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     beyond = F.greatest(F.col("na") - prefix_floor("na"), F.col("nb") - prefix_floor("nb"))
-    return counted.where(F.col("c") >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / F.lit(7)) - beyond).select("a", "b")
+    return counted.where(F.col("c") >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / F.lit(7)) - beyond).select("a", "b", "c")
 
 
 def prefix_floor(n: str):
@@ -291,7 +291,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     live = written(spread.where(F.col("low.sig") != F.col("high")).select("h", "sig", "n", F.col("low.sig").alias("a"), F.col("low.n").alias("na")).distinct(), "jaccard-lists")
 
     one = live.where(F.col("sig") != F.col("a")).select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).where(near("na", "nb"))
-    tried = written(_possible(one), "jaccard-pairs")
+    # of the smallest sets that one meets, that with most prefix shingles in common: one link a member
+    best = _possible(one).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best"))
+    tried = written(best.select(F.col("best.a").alias("a"), "b"), "jaccard-pairs")
     nodes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     linked = written(verify(tried, _texts(source, nodes, tried), classes), "jaccard-links")
     label = connected_components(linked, "a", "b")
@@ -304,7 +306,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     left = open_.select("h", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
     right = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     across = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("na", "nb"))
-    rest = written(_possible(across.select("a", "b", "na", "nb")).join(tried, ["a", "b"], "left_anti"), "jaccard-more-pairs")
+    rest = written(_possible(across.select("a", "b", "na", "nb")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     more = written(verify(rest, _texts(source, nodes, rest), classes), "jaccard-more-links")
     if not more.isEmpty():
         label = connected_components(linked.unionByName(more), "a", "b")
