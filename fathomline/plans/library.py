@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import ranking  # noqa: F401
+from . import history, lexical, ranking, texts, usage  # noqa: F401
