@@ -7,8 +7,9 @@ difference, so the result doesn't depend on an order of work.
 1. Equal lines (trimmed, lower-cased) are one from here on; all but the first go.
 2. Words are ordered by rarity: word counts of all lines in a bounded table of hash buckets give a class,
    and ties go by hash.  A line's prefix is what any partner must touch: n - ceil(0.8 n) + 1 words.
-3. Lines with the same three smallest or largest word hashes meet the first line of that key, so that a
-   group of thousands of variants of a line costs one pair a member.  Lines that this removes don't probe.
+3. Lines with the same three rarest words, next three, or parity of either half of their words meet the
+   first line of that key, so that a group of thousands of variants of a line costs a few pairs a member.
+   Lines that this removes don't probe.
 4. The others meet all earlier lines on their prefix words, under the length filter, the positional
    filter and a 128-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
 5. What remains is verified on the words themselves.
@@ -64,23 +65,26 @@ def prefix_length(n: Column) -> Column:
 
 def _bits(tokens: Column, half: int) -> Column:
     """One half of the parity bitmap: a token flips the bit that 7 bits of its hash name."""
-    flip = lambda s, x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(s)
-    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+    here = lambda x: F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(1))
+    flip = lambda x: here(x) if half else F.lit(1) - here(x)
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", flip(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def line_sets(reps: DataFrame, classes: list[int]) -> DataFrame:
-    """Of each distinct line: lid, k, rk, line_no, n, parity, prefix, keys and norm."""
+    """Of each distinct line: lid, k, rk, line_no, n, parity, prefix and norm.
+
+    A token is its rarity class above HASH_BITS bits of hash, so tokens sort by rarity."""
     held = F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), T.ArrayType(T.LongType(), False))  # BUCKETS numbers
     rank = lambda x: F.call_function("shiftleft", F.element_at(held, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1), F.lit(HASH_BITS)).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    sets = reps.withColumn("tokens", F.sort_array(F.transform(words(F.col("norm")), lambda w: F.xxhash64(w)))).withColumn("n", F.size("tokens"))
-    few = F.least(F.lit(3), F.col("n"))
+    hashed = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+    sets = reps.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), rank)))).withColumn("n", F.size("tokens"))
     return sets.select(
         "lid", "k", "rk", "line_no", "n", "norm",
         _bits(F.col("tokens"), 0).alias("b1"),
         _bits(F.col("tokens"), 1).alias("b2"),
-        F.slice(F.sort_array(F.transform("tokens", rank)), 1, prefix_length(F.col("n")).cast("int")).alias("prefix"),
-        F.xxhash64(F.lit(1), F.slice("tokens", F.lit(1), few)).alias("m1"),
-        F.xxhash64(F.lit(2), F.slice("tokens", F.col("n") - few + 1, few)).alias("m2"),
+        F.slice("tokens", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix"),
+        F.xxhash64(F.lit(1), F.slice("tokens", 1, 3)).alias("m1"),
+        F.when(F.col("n") >= 6, F.xxhash64(F.lit(2), F.slice("tokens", 4, 3))).alias("m2"),
     )
 
 
@@ -110,19 +114,18 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     reps = marked.where("is_first").select("lid", "k", "rk", "line_no", "norm").where(F.length("norm") > 0)
     copies = marked.where("not is_first").select("k", "rk", "line_no")
 
-    counts = reps.select(F.explode(words(F.col("norm"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    counts = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     classes = [0] * BUCKETS
     for x in counts.collect():  # at most BUCKETS rows
         classes[x.b] = int(16 * math.log2(x.c + 1))
     sets = written(line_sets(reps, classes), "line-sets")
 
     # one pair a line and key: with the key's first line
-    keyed = sets.select("lid", "k", "rk", "line_no", "n", "b1", "b2", F.explode(F.array("m1", "m2")).alias("m"))
-    lead = keyed.groupBy("m").agg(F.min(F.struct("k", "rk", "line_no", "lid", "n", "b1", "b2")).alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "y")
-    near = keyed.join(lead, "m").where(
-        (F.col("y.lid") != F.col("lid")) & _alike(F.col("n"), F.col("y.n"), F.col("b1"), F.col("b2"), F.col("y.b1"), F.col("y.b2"))
-    )
-    covered = written(verified(near.select(F.col("lid").alias("x"), F.col("y.lid").alias("y")), sets), "line-covered")
+    keys = F.array("m1", "m2", F.xxhash64(F.lit(3), "n", "b1"), F.xxhash64(F.lit(4), "n", "b2"))
+    keyed = sets.select("lid", "k", F.explode(keys).alias("m")).where("m is not null").repartition("m")
+    lead = keyed.groupBy("m").agg(F.min_by("lid", "k").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "y")
+    near = keyed.join(lead, "m").where(F.col("y") != F.col("lid"))
+    covered = written(verified(near.select(F.col("lid").alias("x"), "y"), sets), "line-covered")
 
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
     flagged = sets.join(_broadcast_if_small(covered.withColumn("covered", F.lit(True))), "lid", "left")
@@ -158,10 +161,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = _broadcast_if_small(written(gone.withColumnsRenamed({"k": "__k", "rk": "__rk", "gone": "__gone"}), "line-removed"))
     k = F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY))
     joined = docs.withColumns({"__a": k, "__b": F.xxhash64(F.col(text))}).join(gone, (F.col("__a") == F.col("__k")) & (F.col("__b") == F.col("__rk")), "left")
-    parts = F.split(F.col(text), "\n")
-    count = F.coalesce(F.size(parts), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
+    joined = joined.withColumn("__parts", F.split(F.col(text), "\n"))
+    count = F.coalesce(F.size("__parts"), F.lit(0))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
+    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__parts"), i + 1)), "\n"))
     out = joined.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__text": clean})
     return out.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_removed")
 
