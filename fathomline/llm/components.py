@@ -40,3 +40,17 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
         mark = new
     return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def forest_roots(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """node and component (the root above it) where each node has one parent at most and no cycles.
+
+    Pointers jump to the parent's parent, so rounds grow as the logarithm of the depth."""
+    tree = written(links.select(F.col(child).alias("node"), F.col(parent).alias("component")), "forest")
+    while True:
+        above = tree.select(F.col("node").alias("p"), F.col("component").alias("top"))
+        jumped = tree.join(above, F.col("component") == F.col("p"), "left")
+        jumped = written(jumped.select("node", F.coalesce("top", "component").alias("component"), F.col("top").isNotNull().alias("moved")), "forest")
+        tree = jumped.select("node", "component")
+        if jumped.where("moved").isEmpty():
+            return tree

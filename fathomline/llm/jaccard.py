@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest_roots
 from .shared import small_batches, table, written
 
 WORDS = 5
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     tried = written(best.select(F.col("best.a").alias("a"), "b"), "jaccard-pairs")
     nodes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     linked = written(verify(tried, _texts(source, nodes, tried), classes), "jaccard-links")
-    label = connected_components(linked, "a", "b")
+    label = forest_roots(linked, "b", "a")  # of each set one link to a smaller one
 
     # lists that span components: their pairs across components that were not tried
     named = live.select("h", "sig", "n").join(label, live.sig == label.node, "left").withColumn("part", F.coalesce("component", "sig")).select("h", "sig", "n", "part")
@@ -308,8 +308,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     across = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("na", "nb"))
     rest = written(_possible(across.select("a", "b", "na", "nb")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     more = written(verify(rest, _texts(source, nodes, rest), classes), "jaccard-more-links")
-    if not more.isEmpty():
-        label = connected_components(linked.unionByName(more), "a", "b")
+    if not more.isEmpty():  # links between whole components
+        of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+        joined = connected_components(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        moved = label.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        label = moved.unionByName(joined.select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
     part = nodes.join(label, nodes.sig == label.node, "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("part"))
     smallest = part.groupBy("part").agg(F.min("doc_id").alias("component_id"))

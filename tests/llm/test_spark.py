@@ -143,6 +143,17 @@ def test_components(spark):
         assert {r.node: r.component for r in got} == {n: min(s) for n, s in root.items() if n != min(s)}
 
 
+def test_forest(spark):
+    parent = {i: RNG.randrange(i) for i in range(1, 80)} | {i: i - 1 for i in range(100, 140) if i > 100}
+
+    def root(i):
+        return root(parent[i]) if i in parent else i
+
+    got = components.forest_roots(spark.createDataFrame(list(parent.items()), "b long, a long"), "b", "a").collect()
+    assert {r.node: r.component for r in got} == {i: root(i) for i in parent}
+    assert components.forest_roots(spark.createDataFrame([], "b long, a long"), "b", "a").count() == 0
+
+
 def brute_lines(rows):
     seen, gone = [], collections.defaultdict(set)
     order = sorted({(lines.FIRST_KEY if i is None else i, t) for i, t, *_ in rows if t is not None}, key=lambda x: x[0])
