@@ -326,7 +326,7 @@ def _searched(queries: DataFrame, dealt: DataFrame, crowd: DataFrame, k: int, fa
             for (h, q, _), d, r in zip(held, best.distance, best.row):
                 on = r >= 0
                 r, d = r[on], d[on]
-                scores = (points[r] * np.array(q)).sum(axis=1)
+                scores = np.cumsum(points[r] * np.array(q), axis=1)[:, -1]  # summed from the left
                 # the distances that bound the k-th: one for each id of a vector
                 many = np.repeat(d, [len(ids[i]) for i in r])
                 out.append((h, q, key[0], [ids[i] for i in r], scores.tolist(), np.sort(many)[: k + 1].tolist()))
