@@ -8,8 +8,8 @@ difference, so the result doesn't depend on an order of work.
 2. Words are ordered by rarity: word counts of all lines in a bounded table of hash buckets give a class,
    and ties go by hash.  A line's prefix is what any partner must touch: n - ceil(0.8 n) + 1 words.
 3. Lines with the same three rarest words, next three, or parity of either half of their words meet the
-   first line of that key, so that a group of thousands of variants of a line costs a few pairs a member.
-   Lines that this removes don't probe.
+   first line of that key, one pair a line (the leader on most keys), so that a group of thousands of
+   variants of a line costs a pair a member.  Lines that this removes don't probe.
 4. The others meet all earlier lines on their prefix words, under the length filter, the positional
    filter and a 128-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
 5. What remains is verified on the words themselves.
@@ -123,8 +123,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # one pair a line and key: with the key's first line
     keys = F.array("m1", "m2", F.xxhash64(F.lit(3), "n", "b1"), F.xxhash64(F.lit(4), "n", "b2"))
     keyed = sets.select("lid", "k", F.explode(keys).alias("m")).where("m is not null").repartition("m")
-    lead = keyed.groupBy("m").agg(F.min_by("lid", "k").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "y")
-    near = keyed.join(lead, "m").where(F.col("y") != F.col("lid"))
+    lead = keyed.groupBy("m").agg(F.min_by("lid", "k").alias("y"), F.min("k").alias("yk"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "y", "yk")
+    met = keyed.join(lead, "m").where(F.col("y") != F.col("lid")).groupBy("lid", "y").agg(F.count(F.lit(1)).alias("agree"), F.min("yk").alias("yk"))
+    near = met.groupBy("lid").agg(F.max_by("y", F.struct("agree", F.bitwise_not("yk").alias("early"))).alias("y"))  # of a line's leaders that on most keys
     covered = written(verified(near.select(F.col("lid").alias("x"), "y"), sets), "line-covered")
 
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
