@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import history, lexical, ranking, streams, texts, usage  # noqa: F401
+from . import history, lexical, ranking, reports, streams, texts, usage  # noqa: F401

@@ -210,3 +210,24 @@ def test_streams(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events"))
     out = run.drained(sessions.daily_counts_stream(run.stream_of(spark, str(tmp_path / "events"), "ts timestamp, kind string")))
     assert out.count() <= 2
+
+
+def test_reports(spark):
+    from fathomline.operators import reports
+
+    posts = spark.createDataFrame([('x\n```json\n{"a": 1}\n```\n{',), ('so {"b": {"c": 2}} it is',), ("none",)], "t string")
+    assert [r[0] for r in posts.select(reports.fenced_json(F.col("t"))).collect()] == ['{"a": 1}', '{"b": {"c": 2}}', None]
+    v = spark.createDataFrame([("a", x) for x in (4, 1, 3, 2)], "k string, v int")
+    assert [tuple(r) for r in reports.grouped_upper_median(v, ["k"], "v").collect()] == [("a", 3, 4)]
+    t = spark.createDataFrame([(1, "p", 3, "read"), (1, "p", 5, "edited"), (1, "q", 4, "ran")], "s int, path string, n int, action string")
+    assert sorted((r.path, r.first, r.action) for r in reports.first_touches(t, "s").collect()) == [("p", 3, "edited"), ("q", 4, "ran")]
+
+
+def test_fitted_query():
+    from fathomline.operators import reports
+
+    build = reports.query_builder("")
+    whole, dropped = reports.fitted_query(len, "q", "", 10, build)
+    assert (whole, dropped) == ("q", 0)
+    fitted, dropped = reports.fitted_query(len, "q", "o" * 3000 + "n" * 300, 500, build)
+    assert dropped > 2500 and fitted.endswith("n" * 200) and len(fitted) <= 500
