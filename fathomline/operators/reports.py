@@ -47,8 +47,8 @@ def first_touches(touches: DataFrame, by: str) -> DataFrame:
     """by, path, first place and strongest action (read < ran < edited) of each path."""
     strength = F.when(F.col("action") == "edited", 2).when(F.col("action") == "ran", 1).otherwise(0)
     names = F.array(F.lit("read"), F.lit("ran"), F.lit("edited"))
-    out = touches.groupBy(by, "path").agg(F.min("n").alias("first"), F.max(strength).alias("s"))
-    return out.select(by, "path", "first", F.element_at(names, F.col("s") + 1).alias("action"))
+    out = touches.groupBy(by, "path").agg(F.min("n").alias("first"), F.max(strength).alias("__strength"))
+    return out.select(by, "path", "first", F.element_at(names, F.col("__strength") + 1).alias("action"))
 
 
 def latest(df: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
