@@ -5,9 +5,9 @@ product with a query (q, 0) / |q| is a smaller Euclidean distance; so the triang
 the search by distance is the search by inner product, whatever the norms.
 
 A vantage-point tree over a bounded sample cuts the space into regions; every vector goes to one region, a
-crowded region is salted into shards of bounded size, and each shard builds a tree of its own.  A query
-first searches the shards of its home region, which bounds its k-th distance, then those regions that
-the triangle inequality can't exclude.  A branch at lower bound l is skipped when factor * l exceeds the
+crowded region is salted into shards of bounded size, and each shard builds a tree of its own.  The
+sample bounds a query's k-th distance, the shards of its home region bound it further, and then those
+regions are searched that the triangle inequality can't exclude; only rows within the bound leave a shard.  A branch at lower bound l is skipped when factor * l exceeds the
 k-th distance so far: factor 1 is exact, larger ones skip more.
 
 Equal vectors are one vector with its smallest ids: k + 1 of them hold all that a result can show.
@@ -32,7 +32,8 @@ QUERY_BLOCK = 2048
 #: How far the pruning bound is relaxed.  1 restores the exact search.
 FACTOR = 1.0
 K = 20
-SLACK = 1e-9
+#: Distances near 0 are exact to about 1e-8 only; bounds give way by more than that.
+SLACK = 1e-6
 
 
 @dataclass
@@ -196,6 +197,7 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     points = lift(np.array([x.v for x in sample]).reshape(-1, size.d), most)
     top = build(points, max(8, int(np.ceil(REGION * share))))
     shared = spark.sparkContext.broadcast((top, most))
+    known = spark.sparkContext.broadcast(points)  # the sample: SAMPLE rows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, m = shared.value
@@ -242,30 +244,37 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, _ = shared.value
+        held = known.value
+        norm = (held**2).sum(axis=1)
         for b in batches:
-            region = assign(tree, aim(matrix(b.column(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(region, pa.int64()), pa.array(np.full(b.num_rows, np.inf))], names=["h", "v", "region", "bound"])
-
-    homed = aims.mapInArrow(home, "h long, v array<double>, region long, bound double")
+            q = aim(matrix(b.column(1)))
+            bound = np.full(len(q), np.inf)
+            for lo in range(0, len(q) if len(held) > k else 0, 256):  # the k-th of the sample bounds the k-th of all
+                part = q[lo : lo + 256]
+                d = (part**2).sum(axis=1)[:, None] + norm - 2 * part @ held.T
+                bound[lo : lo + 256] = np.sqrt(np.maximum(np.partition(d, k, axis=1)[:, k], 0)) + SLACK
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(assign(tree, q), pa.int64()), pa.array(bound)], names=["h", "v", "region", "bound"])
+
+    homed = written(aims.mapInArrow(home, "h long, v array<double>, region long, bound double"), "queries-home")
     phase1 = written(_searched(homed, dealt, crowd, k, factor, most), "nearest-home")
 
-    bounds = phase1.groupBy("h", "qv").agg(F.sort_array(F.flatten(F.collect_list("ds"))).alias("ds"), F.first("region").alias("home"))  # k a shard of the home region
-    bounds = bounds.select("h", F.col("qv").alias("v"), "home", F.when(F.size("ds") >= k + 1, F.element_at("ds", k + 1)).otherwise(F.lit(float("inf"))).alias("bound"))
-    bounds = aims.join(bounds, ["h", "v"], "left").select("h", "v", F.coalesce("home", F.lit(-1)).alias("home"), F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    kth = phase1.groupBy("h", "qv").agg(F.sort_array(F.flatten(F.collect_list("ds"))).alias("ds"))  # k a shard of the home region
+    kth = kth.select("h", F.col("qv").alias("v"), F.when(F.size("ds") >= k + 1, F.element_at("ds", k + 1)).alias("kth"))
+    bounds = homed.join(kth, ["h", "v"], "left").select("h", "v", F.col("region").alias("home"), F.least("bound", "kth").alias("bound"))
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, _ = shared.value
         ways = paths(tree)
         for b in batches:
             q, own, bound = aim(matrix(b.column(1))), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
-            known: dict[int, np.ndarray] = {}
+            seen: dict[int, np.ndarray] = {}
             for r, spans_ in reach.value.items():
                 least = np.zeros(len(q))
                 for i, n in enumerate(ways[r]):
-                    if n not in known:
-                        known[n] = np.sqrt(((q - tree.vantage[n]) ** 2).sum(axis=1))
+                    if n not in seen:
+                        seen[n] = np.sqrt(((q - tree.vantage[n]) ** 2).sum(axis=1))
                     if i in spans_:
-                        least = np.maximum(least, np.maximum(known[n] - spans_[i][1], spans_[i][0] - known[n]))
+                        least = np.maximum(least, np.maximum(seen[n] - spans_[i][1], spans_[i][0] - seen[n]))
                 go = np.flatnonzero((factor * least <= bound + SLACK) & (own != r))
                 if len(go):
                     take = pa.array(go)
@@ -323,15 +332,17 @@ def _searched(queries: DataFrame, dealt: DataFrame, crowd: DataFrame, k: int, fa
             original = np.array([q for _, q, _ in held])
             best = search(tree[0], tree[1], aim(original), k + 1, np.array([b for _, _, b in held]), factor)
             out = []
-            for (h, q, _), d, r in zip(held, best.distance, best.row):
-                on = r >= 0
+            for (h, q, bound), d, r in zip(held, best.distance, best.row):
+                on = (r >= 0) & (d <= bound + SLACK)
+                if not on.any():
+                    continue
                 r, d = r[on], d[on]
                 scores = np.cumsum(points[r] * np.array(q), axis=1)[:, -1]  # summed from the left
                 # the distances that bound the k-th: one for each id of a vector
                 many = np.repeat(d, [len(ids[i]) for i in r])
                 out.append((h, q, key[0], [ids[i] for i in r], scores.tolist(), np.sort(many)[: k + 1].tolist()))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names) if out else None
 
         for b in batches:
             region, shard, role, v, i, h, bound = (b.column(n).to_pylist() for n in range(7))
