@@ -1,9 +1,9 @@
 """Main text of HTML pages by site template removal.
 
-Each page is parsed into a flat tree of elements.  Every element outside the part that a page marks as
-its article is hashed with its whole subtree (names, roles and text, digits aside); Spark counts per host on how many
+Each page is parsed into a flat tree of elements.  Every element, inside the part that a page marks as
+its article too, is hashed with its whole subtree (names, roles and text, digits aside); Spark counts per host on how many
 different pages each hash stands, and subtrees that recur on many pages of a host are deleted as that
-site's template.  What no site's main text holds (scripts, forms, menus, notices and the like) goes by
+site's template.  Only the marked part itself and what holds it are spared.  What no site's main text holds (scripts, forms, menus, notices and the like) goes by
 element, role or name, whatever its count, so that the first pages of a host come out clean too.
 """
 
@@ -22,6 +22,11 @@ from .shared import small_batches, table, written
 
 #: A subtree is template if it stands on at least LEAST_PAGES different pages of a host and on at least SHARE of them.
 LEAST_PAGES, SHARE = 3, 0.2
+#: Texts with fewer bytes of letters (table cells, list items, "Yes.") recur by chance.  Inside a marked part
+#: they are template only on SHORT_SHARE of the host's pages.
+WHOLE, SHORT_SHARE = 20, 0.5
+#: What the low two bits of a hash say: a whole text; a short one or a phrase amid a sentence; a short one in a marked part.
+IS_WHOLE, IS_SHORT, IS_SHORT_INSIDE = 0, 1, 2
 #: Longest text of a subtree that is hashed: longer ones are content, or hold a shorter one that is counted.
 LONGEST_HASHED = 2000
 #: Hosts up to which their lists of template hashes are broadcast; beyond, a salted join.
@@ -38,6 +43,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr "
     "html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+TABLE = frozenset("table tbody td tfoot th thead tr".split())
 #: A start tag of the key closes an open element of the value, up to the nearest scope.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -65,6 +71,7 @@ NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style|itemprop)\b", r
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
 class Page:
@@ -209,14 +216,40 @@ def ancestors(page: Page, i: int) -> Iterator[int]:
         i = page.parent[i]
 
 
+def phrases(page: Page) -> set[int]:
+    """Inline elements with words beside them in the same block: parts of a sentence."""
+    out: set[int] = set()
+    run: list[int] = []
+
+    def close() -> None:
+        low, high = min(run, default=0), max(run, default=0)
+        for i in set(run) if low < high else ():
+            while i > 0 and page.name[i] not in BLOCK:
+                if not i <= low <= high < page.end[i]:
+                    out.add(i)
+                i = page.parent[i]
+        run.clear()
+
+    for e, t, starts in page.pieces:
+        if starts:
+            close()
+        if not page.dropped[e] and NO_LETTERS.sub("", t):
+            run.append(e)
+    close()
+    return out
+
+
 def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
-    """For each element that could be template (not in or around the marked main part) a 64-bit hash
-    of its subtree: names, marks and texts, with digits and white space levelled."""
+    """For each element that could be template (not the marked main part or around it) a 64-bit hash of
+    its subtree: names, marks and texts, with digits and white space levelled.  The low two bits tell how
+    often it must recur.  In a marked part phrases amid a sentence, short tables and cells and texts without
+    a letter are content."""
     n = len(page.name)
     text: dict[int, list[str]] = {}
     for e, t, _ in page.pieces:
         text.setdefault(e, []).append(t)
-    size, digest, out = [0] * n, [b""] * n, {}
+    size, letters, digest, out = [0] * n, [0] * n, [b""] * n, {}
+    amid = phrases(page)
     children: list[list[bytes]] = [[] for _ in range(n)]
     kept = set()
     if inside is not None:
@@ -224,15 +257,26 @@ def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
     for i in range(n - 1, 0, -1):
         own = DIGITS.sub("0", SPACE.sub(" ", " ".join(text.get(i, ()))).strip())
         size[i] += len(own)
+        letters[i] += len(NO_LETTERS.sub("", own).encode("utf-8", "replace"))
         state = hashlib.blake2b(f"{page.name[i]}\0{page.mark[i]}\0{own}\0".encode("utf-8", "replace"), digest_size=8)
         for d in reversed(children[i]):
             state.update(d)
         digest[i] = state.digest()
         size[page.parent[i]] += size[i]
+        letters[page.parent[i]] += letters[i]
         children[page.parent[i]].append(digest[i])
         within = inside is not None and inside <= i < page.end[inside]
-        if i not in kept and not within and 0 < size[i] <= LONGEST_HASHED and page.name[i] not in ("html", "body"):
-            out[i] = int.from_bytes(digest[i], "little", signed=True)
+        if i in kept or not 0 < size[i] <= LONGEST_HASHED or page.name[i] in ("html", "body"):
+            continue
+        if letters[i] >= WHOLE and i not in amid:
+            kind = IS_WHOLE
+        elif not within:
+            kind = IS_SHORT
+        elif i not in amid and letters[i] and page.name[i] not in TABLE:
+            kind = IS_SHORT_INSIDE
+        else:
+            continue
+        out[i] = int.from_bytes(digest[i], "little", signed=True) & ~3 | kind
     return out
 
 
@@ -291,7 +335,9 @@ def templates(pages: DataFrame) -> DataFrame:
     pages_of = found.select("host", "page_mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     pairs = found.select("host", "page_mark", F.explode("hashes").alias("hash")).distinct()
     counted = pairs.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return counted.join(pages_of, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash")
+    kind = F.col("hash").bitwiseAND(3)
+    share = F.when(kind == IS_SHORT_INSIDE, SHORT_SHARE).otherwise(SHARE)
+    return counted.join(pages_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:

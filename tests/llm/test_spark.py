@@ -250,6 +250,19 @@ def test_templates(spark):
     assert html.extract_text(copies.limit(0)).count() == 0
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_inside_an_article(spark):
+    own = [sentence(12) for _ in range(12)]
+    block = "<div class='x7'><b>Read our other stories</b> every day in the evening paper</div>"
+    page = lambda i: f"<article><h1>{own[i][:20]}</h1><p>{own[i]} <em>not</em> now</p>{block}<table><tr><td>{i}</td><td>yes</td></tr></table></article>"
+    for tag in ("article", "main"):
+        got = texts_of(spark, [(i, f"http://h.org/{i}", page(i).replace("article>", f"{tag}>")) for i in range(12)])
+        assert got == {i: f"{own[i][:20].strip()} {own[i]} not now {i} yes" for i in range(12)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 6)).round(2)
