@@ -12,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .shared import small_batches, table, written
 
 #: A subtree is template if it stands on at least LEAST_PAGES different pages of a host and on at least SHARE of them.
 LEAST_PAGES, SHARE = 3, 0.2
+#: Different pages that suffice for a whole text, however many pages the host has.
+ENOUGH = 30
 #: Texts with fewer bytes of letters (table cells, list items, "Yes.") recur by chance.  Inside a marked part
 #: they are template only on SHORT_SHARE of the host's pages.
 WHOLE, SHORT_SHARE = 20, 0.5
@@ -29,8 +32,9 @@ WHOLE, SHORT_SHARE = 20, 0.5
 IS_WHOLE, IS_SHORT, IS_SHORT_INSIDE = 0, 1, 2
 #: Longest text of a subtree that is hashed: longer ones are content, or hold a shorter one that is counted.
 LONGEST_HASHED = 2000
-#: Hosts up to which their lists of template hashes are broadcast; beyond, a salted join.
-BROADCAST_HOSTS, SALTS = 50_000, 32
+#: Template hashes up to which they are broadcast (8 bytes each); beyond, each page gets its own by a join, in
+#: which pages that have more than COPIES copies are dealt to SALTS tasks.
+BROADCAST_HASHES, COPIES, SALTS = 1_000_000, 1000, 32
 
 #: Names of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -239,9 +243,9 @@ def phrases(page: Page) -> set[int]:
     return out
 
 
-def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
+def subtree_hashes(page: Page, inside: int | None, host: str = "") -> dict[int, int]:
     """For each element that could be template (not the marked main part or around it) a 64-bit hash of
-    its subtree: names, marks and texts, with digits and white space levelled.  The low two bits tell how
+    its subtree: host, names, marks and texts, with digits and white space levelled.  The low two bits tell how
     often it must recur.  In a marked part phrases amid a sentence, short tables and cells and texts without
     a letter are content."""
     n = len(page.name)
@@ -250,6 +254,7 @@ def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
         text.setdefault(e, []).append(t)
     size, letters, digest, out = [0] * n, [0] * n, [b""] * n, {}
     amid = phrases(page)
+    seed = hashlib.blake2b(host.encode("utf-8", "replace") + b"\0", digest_size=8)
     children: list[list[bytes]] = [[] for _ in range(n)]
     kept = set()
     if inside is not None:
@@ -258,7 +263,8 @@ def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
         own = DIGITS.sub("0", SPACE.sub(" ", " ".join(text.get(i, ()))).strip())
         size[i] += len(own)
         letters[i] += len(NO_LETTERS.sub("", own).encode("utf-8", "replace"))
-        state = hashlib.blake2b(f"{page.name[i]}\0{page.mark[i]}\0{own}\0".encode("utf-8", "replace"), digest_size=8)
+        state = seed.copy()
+        state.update(f"{page.name[i]}\0{page.mark[i]}\0{own}\0".encode("utf-8", "replace"))
         for d in reversed(children[i]):
             state.update(d)
         digest[i] = state.digest()
@@ -280,9 +286,9 @@ def subtree_hashes(page: Page, inside: int | None) -> dict[int, int]:
     return out
 
 
-def main_text(page: Page, inside: int | None, template: set[int]) -> str:
+def main_text(page: Page, inside: int | None, template: Container[int], host: str = "") -> str:
     """The texts that stay, blocks joined by one space: white space levelled inside, blocks trimmed."""
-    hashes = subtree_hashes(page, inside) if template else {}
+    hashes = subtree_hashes(page, inside, host) if template else {}
     gone = [False] * len(page.name)
     for i in range(1, len(page.name)):
         gone[i] = gone[page.parent[i]] or hashes.get(i) in template if hashes else False
@@ -308,36 +314,69 @@ def host_of():
     return F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and hash of the subtrees that recur: on LEAST_PAGES different pages and SHARE of the host's.
+class Held:
+    """Hashes in sorted order, 8 bytes each, asked like a set."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __contains__(self, x: int | None) -> bool:
+        if x is None:
+            return False
+        i = int(np.searchsorted(self.hashes, x))
+        return i < len(self.hashes) and int(self.hashes[i]) == x
 
-    Pages of the same text count once, so that copies of a page don't make its text a template.
-    Columns read: url, html.
-    """
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, copy (a hash of host and html), page_mark and hashes (those of its subtrees) of each page.  Columns read: url, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, marks, hashes = [], [], []
-            for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            marks, hashes = [], []
+            for host, source in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 page = parse(source or "")
                 inside = keep_main(page)
-                body = main_text(page, inside, set())
-                hosts.append(host)
+                body = main_text(page, inside, ())
                 marks.append(int.from_bytes(hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-                hashes.append(sorted(set(subtree_hashes(page, inside).values())))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "page_mark", "hashes"]
-            )
+                hashes.append(sorted(set(subtree_hashes(page, inside, host).values())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "copy", "page_mark", "hashes"])
+
+    source = pages.select(host_of().alias("host"), copy_of().alias("copy"), "html")
+    return written(source.mapInArrow(run, "host string, copy long, page_mark long, hashes array<long>"), "html-subtrees")
 
-    found = pages.select(host_of().alias("host"), "html").mapInArrow(run, "host string, page_mark long, hashes array<long>")
-    found = written(found, "html-subtrees")
+
+def copy_of():
+    return F.xxhash64(host_of(), "html")
+
+
+def templates(found: DataFrame) -> DataFrame:
+    """hash of the subtrees that recur: on LEAST_PAGES different pages, and on SHARE of the host's or, if
+    whole texts, on ENOUGH.  A hash belongs to one host.
+
+    Pages of the same text count once, so that copies of a page don't make its text a template.
+    """
     # narrow pairs, counted with partial sums: a host with a third of the pages is no single task
     pages_of = found.select("host", "page_mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     pairs = found.select("host", "page_mark", F.explode("hashes").alias("hash")).distinct()
     counted = pairs.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     kind = F.col("hash").bitwiseAND(3)
     share = F.when(kind == IS_SHORT_INSIDE, SHORT_SHARE).otherwise(SHARE)
-    return counted.join(pages_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    enough = (kind == IS_WHOLE) & (F.col("n") >= ENOUGH)
+    return counted.join(pages_of, "host").where(enough | (F.col("n") >= share * F.col("pages"))).select("hash")
+
+
+def own_templates(pages: DataFrame, found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """pages (with copy) and template: those of the hashes that stand on the page itself."""
+    copies = found.groupBy("copy").agg(F.count(F.lit(1)).alias("n"))
+    many = written(copies.where(F.col("n") > COPIES).select("copy", F.lit(SALTS).alias("salts")), "html-copied")  # one in COPIES rows at most
+    one = found.select("copy", "hashes").dropDuplicates(["copy"])
+    lists = one.select("copy", F.explode("hashes").alias("hash")).join(hashes, "hash").groupBy("copy").agg(F.collect_list("hash").alias("template"))
+    lists = lists.join(many, "copy", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    dealt = pages.join(F.broadcast(many), "copy", "left").withColumn("salt", F.floor(F.rand(7) * F.coalesce("salts", F.lit(1))).cast("int"))
+    return dealt.join(lists, ["copy", "salt"], "left")
 
 
 def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -346,25 +385,28 @@ def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     Null html counts as empty, a null url as host "".  Repeated rows each give a row; pages of equal html
     on one host give equal text.  An empty table gives no rows.  Other columns are not read.
     """
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     pages = pages.select(F.col(key), "url", "html")
-    # at most 1 / SHARE disjoint subtrees of each depth pass on every page, so the lists per host are short
-    lists = written(templates(pages).groupBy("host").agg(F.collect_list("hash").alias("template")), "html-templates")
+    found = subtrees(pages)
+    hashes = written(templates(found), "html-templates")
     hosted = pages.withColumn("host", host_of())
-    if lists.count() <= BROADCAST_HOSTS:
-        joined = hosted.join(F.broadcast(lists), "host", "left")
-    else:  # a host with a third of the pages is dealt to SALTS tasks
-        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select(key, "url", "html", "template")
+    held = None
+    if hashes.count() <= BROADCAST_HASHES:
+        held = spark.sparkContext.broadcast(Held(hashes.toArrow().column(0).to_numpy()))
+        joined = hosted.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        joined = own_templates(hosted.withColumn("copy", copy_of()), found, hashes)
+    joined = joined.select(key, "url", "html", "template", "host")
     schema = pages.select(key, "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for source, template in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for source, template, host in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
                 page = parse(source or "")
-                texts.append(main_text(page, keep_main(page), set(template or ())).encode("utf-8", "replace").decode())
+                gone = held.value if held is not None else set(template or ())
+                texts.append(main_text(page, keep_main(page), gone, host).encode("utf-8", "replace").decode())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, "url", "text", "n_chars"]
             )

@@ -263,6 +263,18 @@ def test_templates_inside_an_article(spark):
         assert got == {i: f"{own[i][:20].strip()} {own[i]} not now {i} yes" for i in range(12)}
 
 
+def test_templates_of_a_large_host(spark, monkeypatch):
+    own = [sentence(12) for _ in range(240)]
+    promo = lambda i: f"<div>Try our {'abcdef'[i % 6]}{'abcdef'[i % 6]} paper for a month at no charge</div>"
+    rows = [(i, f"http://h.org/{i}", f"<div>{promo(i)}<p>{own[i]}</p></div>") for i in range(240)]
+    rows += [(1000 + i, "http://h.org/0", rows[0][2]) for i in range(40)]
+    want = {i: own[i] if i < 1000 else own[0] for i, *_ in rows}
+    assert texts_of(spark, rows) == want  # each promo on a sixth of the pages
+    monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(html, "COPIES", 10)
+    assert texts_of(spark, rows) == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 6)).round(2)
