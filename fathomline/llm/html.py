@@ -30,8 +30,6 @@ ENOUGH = 30
 WHOLE, SHORT_SHARE = 20, 0.5
 #: What the low two bits of a hash say: a whole text; a short one or a phrase amid a sentence; a short one in a marked part.
 IS_WHOLE, IS_SHORT, IS_SHORT_INSIDE = 0, 1, 2
-#: Longest text of a subtree that is hashed: longer ones are content, or hold a shorter one that is counted.
-LONGEST_HASHED = 2000
 #: Template hashes up to which they are broadcast (8 bytes each); beyond, each page gets its own by a join, in
 #: which pages that have more than COPIES copies are dealt to SALTS tasks.
 BROADCAST_HASHES, COPIES, SALTS = 1_000_000, 1000, 32
@@ -73,9 +71,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAMED = re.compile(r"\b(?:class|id|role|hidden|aria-hidden|style|itemprop)\b", re.I)
 WORDS = re.compile(r"[a-z]+")
-SPACE = re.compile(r"\s+")
 DIGITS = re.compile(r"\d+")
-NO_LETTERS = re.compile(r"[\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Page:
@@ -220,14 +217,25 @@ def ancestors(page: Page, i: int) -> Iterator[int]:
         i = page.parent[i]
 
 
+def letters_of(text: str) -> int:
+    """Bytes of letters, counted up to WHOLE."""
+    n = 0
+    for m in LETTERS.finditer(text):
+        n += len(m.group().encode("utf-8", "replace"))
+        if n >= WHOLE:
+            break
+    return n
+
+
 def phrases(page: Page) -> set[int]:
     """Inline elements with words beside them in the same block: parts of a sentence."""
     out: set[int] = set()
-    run: list[int] = []
+    run: list[tuple[int, str]] = []
 
     def close() -> None:
-        low, high = min(run, default=0), max(run, default=0)
-        for i in set(run) if low < high else ():
+        worded = {e for e, t in run if LETTERS.search(t)} if len(run) > 1 else ()
+        low, high = min(worded, default=0), max(worded, default=0)
+        for i in worded if low < high else ():
             while i > 0 and page.name[i] not in BLOCK:
                 if not i <= low <= high < page.end[i]:
                     out.add(i)
@@ -237,8 +245,8 @@ def phrases(page: Page) -> set[int]:
     for e, t, starts in page.pieces:
         if starts:
             close()
-        if not page.dropped[e] and NO_LETTERS.sub("", t):
-            run.append(e)
+        if not page.dropped[e]:
+            run.append((e, t))
     close()
     return out
 
@@ -260,9 +268,10 @@ def subtree_hashes(page: Page, inside: int | None, host: str = "") -> dict[int,
     if inside is not None:
         kept = {inside, *ancestors(page, inside)}
     for i in range(n - 1, 0, -1):
-        own = DIGITS.sub("0", SPACE.sub(" ", " ".join(text.get(i, ()))).strip())
+        own = DIGITS.sub("0", " ".join(" ".join(text[i]).split())) if i in text else ""
         size[i] += len(own)
-        letters[i] += len(NO_LETTERS.sub("", own).encode("utf-8", "replace"))
+        if own and letters[i] < WHOLE:
+            letters[i] += letters_of(own)
         state = seed.copy()
         state.update(f"{page.name[i]}\0{page.mark[i]}\0{own}\0".encode("utf-8", "replace"))
         for d in reversed(children[i]):
@@ -272,7 +281,7 @@ def subtree_hashes(page: Page, inside: int | None, host: str = "") -> dict[int,
         letters[page.parent[i]] += letters[i]
         children[page.parent[i]].append(digest[i])
         within = inside is not None and inside <= i < page.end[inside]
-        if i in kept or not 0 < size[i] <= LONGEST_HASHED or page.name[i] in ("html", "body"):
+        if i in kept or not size[i] or page.name[i] in ("html", "body"):
             continue
         if letters[i] >= WHOLE and i not in amid:
             kind = IS_WHOLE
@@ -306,7 +315,7 @@ def main_text(page: Page, inside: int | None, template: Container[int], host: st
         held.append(t)
     if held:
         blocks.append("".join(held))
-    clean = (SPACE.sub(" ", b).strip() for b in blocks)
+    clean = (" ".join(b.split()) for b in blocks)
     return " ".join(b for b in clean if b)
 
 
@@ -339,7 +348,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
             for host, source in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 page = parse(source or "")
                 inside = keep_main(page)
-                body = main_text(page, inside, ())
+                body = DIGITS.sub("0", main_text(page, inside, ()))
                 marks.append(int.from_bytes(hashlib.blake2b(body.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
                 hashes.append(sorted(set(subtree_hashes(page, inside, host).values())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "copy", "page_mark", "hashes"])
@@ -353,10 +362,10 @@ def copy_of():
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """hash of the subtrees that recur: on LEAST_PAGES different pages, and on SHARE of the host's or, if
+    """host and hash of the subtrees that recur: on LEAST_PAGES different pages, and on SHARE of the host's or, if
     whole texts, on ENOUGH.  A hash belongs to one host.
 
-    Pages of the same text count once, so that copies of a page don't make its text a template.
+    Pages of the same text but for digits count once, so that copies of a page don't make its text a template.
     """
     # narrow pairs, counted with partial sums: a host with a third of the pages is no single task
     pages_of = found.select("host", "page_mark").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -365,7 +374,7 @@ def templates(found: DataFrame) -> DataFrame:
     kind = F.col("hash").bitwiseAND(3)
     share = F.when(kind == IS_SHORT_INSIDE, SHORT_SHARE).otherwise(SHARE)
     enough = (kind == IS_WHOLE) & (F.col("n") >= ENOUGH)
-    return counted.join(pages_of, "host").where(enough | (F.col("n") >= share * F.col("pages"))).select("hash")
+    return counted.join(pages_of, "host").where(enough | (F.col("n") >= share * F.col("pages"))).select("host", "hash")
 
 
 def own_templates(pages: DataFrame, found: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -389,23 +398,26 @@ def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     small_batches(spark)
     pages = pages.select(F.col(key), "url", "html")
     found = subtrees(pages)
-    hashes = written(templates(found), "html-templates")
+    hashes = written(templates(found).select(F.xxhash64("host").alias("site"), "hash"), "html-templates")
     hosted = pages.withColumn("host", host_of())
     held = None
     if hashes.count() <= BROADCAST_HASHES:
-        held = spark.sparkContext.broadcast(Held(hashes.toArrow().column(0).to_numpy()))
+        site, mark = (c.to_numpy() for c in hashes.toArrow().columns)
+        held = spark.sparkContext.broadcast((Held(np.unique(site)), Held(mark)))
         joined = hosted.withColumn("template", F.lit(None).cast("array<long>"))
     else:
-        joined = own_templates(hosted.withColumn("copy", copy_of()), found, hashes)
-    joined = joined.select(key, "url", "html", "template", "host")
+        joined = own_templates(hosted.withColumn("copy", copy_of()), found, hashes.select("hash"))
+    joined = joined.select(key, "url", "html", "template", "host", F.xxhash64("host").alias("site"))
     schema = pages.select(key, "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for source, template, host in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
+            for source, template, host, site in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 page = parse(source or "")
-                gone = held.value if held is not None else set(template or ())
+                gone = set(template or ())
+                if held is not None and site in held.value[0]:
+                    gone = held.value[1]
                 texts.append(main_text(page, keep_main(page), gone, host).encode("utf-8", "replace").decode())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, "url", "text", "n_chars"]

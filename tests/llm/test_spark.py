@@ -275,6 +275,14 @@ def test_templates_of_a_large_host(spark, monkeypatch):
     assert texts_of(spark, rows) == want
 
 
+def test_a_long_text_is_template(spark):
+    terms, own = sentence(1000), [sentence(12) for _ in range(12)]
+    assert len(terms) > 2000
+    assert texts_of(spark, [(i, f"http://h.org/{i}", f"<div><p>{own[i]}</p><div>{terms}</div></div>") for i in range(12)]) == dict(enumerate(own))
+    dated = [(i, f"http://h.org/{i}", f"<div><p>{terms} {i}</p></div>") for i in range(12)]  # one page but for digits
+    assert texts_of(spark, dated) == {i: f"{terms} {i}" for i in range(12)}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 6)).round(2)
