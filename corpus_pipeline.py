@@ -19,9 +19,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts, no letter) go; a missing lang is filled with the prediction."""
-    found = language.identify(docs, language.train(docs))
-    kept = found.where(F.col("lang_pred") != language.UNKNOWN)
+    """Null texts and texts without a letter go; a missing lang is filled with the prediction, or stays null
+    where no language could be learned."""
+    model = language.train(docs)
+    if not model.languages:
+        return language.with_letters(docs)
+    found = language.identify(docs, model)
+    # where it is a label, the mark of texts without a letter tells nothing
+    kept = language.with_letters(found) if language.UNKNOWN in model.languages else found.where(F.col("lang_pred") != language.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -180,6 +180,18 @@ def identify(docs: DataFrame, classifier: Classifier, text: str = "text", predic
     return docs.mapInArrow(run, schema)
 
 
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows whose text holds a letter."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(t) and has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: the predicted language of every document."""
     docs = table(spark, sf_dir, "documents")

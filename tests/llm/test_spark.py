@@ -307,6 +307,15 @@ def test_same_rows_as_sql(spark, name):
     check(spark, name, queries.QUERIES[name], oracles.ORACLES[name])
 
 
+def test_unlabelled_documents_stay(spark, docs):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    lettered = collections.Counter((i, t) for i, t, *_ in ROWS if any(c.isalpha() for c in t or ""))
+    for label in (F.lit(None).cast("string"), F.when(F.col("doc_id") == 0, "und"), F.lit("und")):
+        out = pipeline.identify_language(spark, docs.withColumn("lang", label), SF)
+        assert out.columns == docs.columns and collections.Counter((r.doc_id, r.text) for r in out.collect()) == lettered
+    assert {r.lang for r in pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).collect()} == {None}
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = spark.read.parquet(f"{SF}/documents.parquet")
