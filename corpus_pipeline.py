@@ -38,18 +38,29 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays.  Rows without an id
-    can't be named, so they all stay; of rows that repeat an id one stays."""
+    """Of each component of near duplicates the document with the smallest id stays (null ids come last).
+    Different texts under one id, or without an id, are different documents."""
+    unnamed = docs.where(F.col("doc_id").isNull() | (F.col("doc_id") == jaccard.LAST_ID))
+    if not unnamed.isEmpty() or not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _by_id_and_text(docs)
     joined = jaccard.jaccard_components(docs)
     gone = written(joined.where("component_id < doc_id").select("doc_id").distinct(), "near-duplicates")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
 
 
+def _by_id_and_text(docs: DataFrame) -> DataFrame:
+    """The same where ids are null or repeated: a document is an id with a set of shingles."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.LAST_ID)).alias("_id")
+    marked = jaccard.marked_components(docs).where("part is not null").select(number, F.col("sig").alias("_sig"), "part").distinct()
+    marked = written(marked, "near-duplicates-marked")
+    first = marked.groupBy("part").agg(F.min(F.struct("_id", "_sig")).alias("first"))
+    gone = written(marked.join(first, "part").where(F.struct("_id", "_sig") != F.col("first")).select("_id", "_sig"), "near-duplicates")
+    signed = jaccard.with_signature(docs, "_sig").withColumn("_id", number)
+    kept = signed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["_id", "_sig"], "left_anti")
+    return kept.dropDuplicates(["_id", "_sig"]).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left in windows of 2048 ids."""
     return packing.pack_documents(docs, bpe.vocabulary_path())

@@ -271,8 +271,28 @@ def near(a: str, b: str):
     return 4 * F.least(F.col(a), F.col(b)) >= 3 * F.greatest(F.col(a), F.col(b))
 
 
+def with_signature(docs: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """docs with the mark of each text's set of shingles, the sig of jaccard_components."""
+    small_batches(docs.sparkSession)
+    schema = docs.select("*", F.lit(0).cast("long").alias(name)).schema
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sigs = pa.array([signature(shingles(t or "")) for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, sigs], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest key that links reach) and sig, a mark of the set.
+    """marked_components without part."""
+    return marked_components(docs, key, text).drop("part")
+
+
+def marked_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest key that links reach) sig, a mark of the
+    set, and part, a mark of the component (null without shingles).
 
     Null and empty texts have no shingle and link with nothing, so component_id is their own key.  Rows
     of one key are one node for links.  Null keys link like others; component_id is null where no row
@@ -317,10 +337,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     part = nodes.join(label, nodes.sig == label.node, "left").select("sig", "doc_id", F.coalesce("component", "sig").alias("part"))
     smallest = part.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    of_set = part.join(smallest, "part").select("sig", "component_id")
+    of_set = part.join(smallest, "part").select("sig", "component_id", "part")
     out = marked.join(of_set, "sig", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     real = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), "sig")
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), "sig", "part")
 
 
 def _texts(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

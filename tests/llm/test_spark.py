@@ -316,6 +316,18 @@ def test_unlabelled_documents_stay(spark, docs):
     assert {r.lang for r in pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF).collect()} == {None}
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d, e = (sentence(60) for _ in range(5))
+    near = lambda t: t.replace(t.split()[30], "changed", 1)
+    rows = [(None, a), (None, a), (None, near(a)), (None, b), (7, c), (7, d), (7, c), (8, near(c)), (1, e), (9, near(e)), (9, sentence(50)), (3, near(b))]
+    frame = spark.createDataFrame([(i, t, None, "s", 0, 1, "x") for i, t in rows], SCHEMA).repartition(3)
+    out = pipeline.drop_near_duplicates(spark, frame, SF)
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == frame.columns and sum(got[None, t] for t in (a, near(a))) == 1
+    assert {k: n for k, n in got.items() if k not in ((None, a), (None, near(a)))} == {(7, c): 1, (7, d): 1, (1, e): 1, rows[10]: 1, rows[11]: 1}
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = spark.read.parquet(f"{SF}/documents.parquet")
