@@ -29,6 +29,8 @@ from .shared import table, written
 SAMPLE, REGION, SHARD, LEAF = 16_384, 2048, 4096, 64
 #: Queries of a shard that one task searches at once.
 QUERY_BLOCK = 2048
+#: Ties of a block beyond which those that a nearer bound has ruled out are forgotten.
+TIES = 1 << 20
 #: How far the pruning bound is relaxed.  1 restores the exact search.
 FACTOR = 1.0
 K = 20
@@ -99,20 +101,41 @@ def assign(tree: Tree, points: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k nearest rows found so far of each query."""
+    """The k nearest rows found so far of each query, and those that tie with the k-th within the slack."""
 
     def __init__(self, queries: int, k: int, bound: np.ndarray):
         self.distance = np.full((queries, k), np.inf)
         self.row = np.full((queries, k), -1, dtype=np.int64)
         self.bound = bound.copy()  # of the k-th distance
+        self.tied: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, distance, row
+        self.held, self.most = 0, TIES
 
     def offer(self, which: np.ndarray, distance: np.ndarray, rows: np.ndarray) -> None:
         d = np.concatenate([self.distance[which], distance], axis=1)
         r = np.concatenate([self.row[which], np.broadcast_to(rows, distance.shape)], axis=1)
         k = self.distance.shape[1]
-        pick = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        order = np.argpartition(d, k - 1, axis=1)
+        pick, rest = order[:, :k], order[:, k:]
         self.distance[which], self.row[which] = np.take_along_axis(d, pick, 1), np.take_along_axis(r, pick, 1)
         self.bound[which] = np.minimum(self.bound[which], self.distance[which].max(axis=1))
+        beyond = np.take_along_axis(d, rest, 1)
+        q, i = np.nonzero((beyond <= self.bound[which][:, None] + 2 * SLACK) & (beyond < np.inf))
+        if len(q):
+            self.tied.append((which[q], beyond[q, i], r[q, rest[q, i]]))
+            self.held += len(q)
+            if self.held > self.most:
+                self.tied = [self.ties()]
+                self.held = len(self.tied[0][0])
+                self.most = max(TIES, 2 * self.held)
+
+    def ties(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, distance and row of those beyond the k that tie with the k-th, by query."""
+        if not self.tied:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+        q, d, r = (np.concatenate(x) for x in zip(*self.tied))
+        on = np.flatnonzero(d <= self.bound[q] + 2 * SLACK)
+        on = on[np.argsort(q[on], kind="stable")]
+        return q[on], d[on], r[on]
 
 
 def search(tree: Tree, points: np.ndarray, queries: np.ndarray, k: int, bound: np.ndarray, factor: float) -> Best:
@@ -332,12 +355,18 @@ def _searched(queries: DataFrame, dealt: DataFrame, crowd: DataFrame, k: int, fa
             original = np.array([q for _, q, _ in held])
             best = search(tree[0], tree[1], aim(original), k + 1, np.array([b for _, _, b in held]), factor)
             out = []
-            for (h, q, bound), d, r in zip(held, best.distance, best.row):
+            whose, tied_d, tied_r = best.ties()
+            edge = np.searchsorted(whose, np.arange(len(held) + 1))
+            for (h, q, bound), d, r, lo, hi in zip(held, best.distance, best.row, edge, edge[1:]):
+                r, d = np.concatenate([r, tied_r[lo:hi]]), np.concatenate([d, tied_d[lo:hi]])
                 on = (r >= 0) & (d <= bound + SLACK)
                 if not on.any():
                     continue
                 r, d = r[on], d[on]
                 scores = np.cumsum(points[r] * np.array(q), axis=1)[:, -1]  # summed from the left
+                if len(r) > k + 1:  # the exact score decides, then the smallest id
+                    first = np.lexsort((np.array([ids[i][0] for i in r]), -scores))[: k + 1]
+                    r, d, scores = r[first], d[first], scores[first]
                 # the distances that bound the k-th: one for each id of a vector
                 many = np.repeat(d, [len(ids[i]) for i in r])
                 out.append((h, q, key[0], [ids[i] for i in r], scores.tolist(), np.sort(many)[: k + 1].tolist()))

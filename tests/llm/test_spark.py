@@ -302,6 +302,19 @@ def test_nearest(spark):
     assert len(few) == 6
 
 
+def test_many_vectors_tie(spark):
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.integers(-2, 3, size=(700, 6)), axis=0).astype(float)
+    x = x[np.abs(x).sum(axis=1) > 0]
+    x[:40] = np.eye(6)[np.arange(40) % 6] * np.sign(rng.normal(size=40))[:, None] * rng.integers(1, 4, size=40)[:, None]
+    good = dict(enumerate(x[rng.permutation(len(x))]))
+    rows = [(int(i), v.tolist()) for i, v in good.items()]
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for _, i in sorted((-float(good[q] @ v), i) for i, v in good.items() if i != q)[:20]] for q in good}
+
+
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_same_rows_as_sql(spark, name):
     check(spark, name, queries.QUERIES[name], oracles.ORACLES[name])
