@@ -123,7 +123,7 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def members(stream, head_bytes: int = 1 << 16) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and the first bytes of each gzip member of a stream, read in pieces."""
+    """Offset, length and the first bytes of each gzip member of a stream (the whole header at least), read in pieces."""
     offset, held = 0, b""
     while True:
         unpack, head, used = zlib.decompressobj(31), b"", 0
@@ -139,8 +139,8 @@ def members(stream, head_bytes: int = 1 << 16) -> Iterator[tuple[int, int, bytes
             while data and not unpack.eof:
                 plain = unpack.decompress(data, 1 << 20)
                 data = unpack.unconsumed_tail
-                if len(head) < head_bytes:
-                    head += plain[: head_bytes - len(head)]
+                if len(head) < head_bytes or END not in head:
+                    head += plain
             held = unpack.unused_data
         used -= len(held)
         yield offset, used, head

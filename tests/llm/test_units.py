@@ -1,6 +1,7 @@
 """The parts that run inside tasks, against plain or published forms."""
 
 import hashlib
+import io
 import random
 import zlib
 
@@ -180,6 +181,9 @@ def test_archives(tmp_path):
         found = list(warc.members(f))
     assert [(o, n) for o, n, _ in found] == [(sum(map(len, made[:i])), len(m)) for i, m in enumerate(made)]
     assert [warc.payload_of(m) for m in made] == [b"", b"<p>\xc3\xa9</p>", b"", b"y" * 300_000]
+    far = warc.record(9, "data:," + "\u6f22" * 80_000, hashlib.sha256(b"z").hexdigest(), b"z", None, "2026-01-01T00:00:00Z")
+    ((_, _, head),) = warc.members(io.BytesIO(far))
+    assert warc.headers(head[: head.index(warc.END)])["warc-record-id"] == "<urn:x-page:9>" and len(head) > 1 << 19
     plain = b"".join(zlib.decompress(m, 31) for m in made)
     (tmp_path / "a.warc").write_bytes(plain)
     with open(tmp_path / "a.warc", "rb") as f:
