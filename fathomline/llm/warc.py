@@ -229,7 +229,7 @@ def payload_of(raw: bytes) -> bytes:
 
 
 def read_records(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The selected index rows with ``payload`` (binary): empty for a revisit, whose payload is its original's.
+    """The selected index rows with ``payload`` (binary): empty for a revisit; ``resolved`` follows those to their originals.
 
     Rows are dealt by file and stretch of it, sorted, and read in joined ranges.
     """
@@ -258,24 +258,41 @@ def read_records(index: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def resolved(read: DataFrame) -> DataFrame:
+    """The records read, without payload, with found and size: digest and length of the payload that was
+    read, for a revisit that of the response it refers to (null where none of its digest is there)."""
+    seen = read.withColumn("found", F.concat(F.lit("sha256:"), F.sha2("payload", 256))).withColumn("size", F.octet_length("payload").cast("long"))
+    seen = written(seen.drop("payload"), "warc-read")
+    revisit = F.col("record_type") == "revisit"
+    wanted = seen.where(revisit).select(F.col("refers_to").alias("record_id"), F.col("digest").alias("found")).distinct()
+    originals = seen.where(~revisit).select("record_id", "found", "size").join(wanted, ["record_id", "found"], "left_semi").distinct()
+    originals = written(originals.select(F.col("record_id").alias("refers_to"), F.col("found").alias("digest"), F.col("found").alias("original"), F.col("size").alias("original_size")), "warc-originals")
+    if originals.count() <= BROADCAST_ROWS:
+        joined = seen.join(F.broadcast(originals), ["refers_to", "digest"], "left")
+    else:  # an original that a third of all rows revisits is dealt to SALTS tasks
+        salted = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = seen.withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.lit(SALTS)).cast("int")).join(salted, ["refers_to", "digest", "salt"], "left")
+    return joined.withColumn("found", F.when(revisit, F.col("original")).otherwise(F.col("found"))).withColumn("size", F.when(revisit, F.col("original_size")).otherwise(F.col("size")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: every page written to archives and read back."""
     path = fresh_path(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), path)
     files = manifest.select("file").repartition(max(1, manifest.count()))
     index = written(index_warc(files), "warc-index")
-    read = read_records(index)
+    read = resolved(read_records(index))
     page = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c)).cast("long")
-    response = F.col("record_type") == "response"
+    matches = (F.col("found") == F.col("digest")) & F.col("size").eqNullSafe(F.col("payload_bytes"))
     return read.select(
         number("record_id").alias("page_id"),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("digest", "^sha256:", "")).alias("payload_digest"),
+        F.col("size").alias("payload_bytes"),
+        F.regexp_replace("found", "^sha256:", "").alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
         "url",
-        F.when(response, F.concat(F.lit("sha256:"), F.sha2("payload", 256)) == F.col("digest")).otherwise(F.lit(True)).alias("digest_matches"),
+        F.coalesce(matches, F.lit(False)).alias("digest_matches"),
     )
 
 

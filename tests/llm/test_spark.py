@@ -238,6 +238,16 @@ def test_warc(spark, tmp_path):
     assert warc.write_warc(pages.limit(0), fresh_path(spark, "warc")).count() == 0
 
 
+def test_revisits_are_followed(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    index = written(warc.index_warc(warc.write_warc(pages, fresh_path(spark, "warc")).select("file")), "index")
+    whole = warc.resolved(warc.read_records(index)).collect()
+    assert len(whole) == len(PAGES) and all(r.found == r.digest and r.size == r.payload_bytes for r in whole)
+    lost = warc.resolved(warc.read_records(index.where("record_id <> '<urn:x-page:1>'"))).collect()
+    assert {r.record_id for r in lost if r.found is None} == {"<urn:x-page:2>", "<urn:x-page:3>", "<urn:x-page:none>"} & {r.record_id for r in lost if r.record_type == "revisit"}
+    assert any(r.record_type == "revisit" for r in lost)
+
+
 def test_templates(spark):
     page = lambda i: f"<div><span>Subscribe to the letter {i}</span></div><div class='content'><p>{sentence(12)}</p></div>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(12)] + [(50, "http://other.org/", page(1)), (51, None, None), (52, "http://h.org/x", "")]
