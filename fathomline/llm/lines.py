@@ -7,12 +7,15 @@ difference, so the result doesn't depend on an order of work.
 1. Equal lines (trimmed, lower-cased) are one from here on; all but the first go.
 2. Words are ordered by rarity: word counts of all lines in a bounded table of hash buckets give a class,
    and ties go by hash.  A line's prefix is what any partner must touch: n - ceil(0.8 n) + 1 words.
-3. Lines with the same three rarest words, next three, or parity of either half of their words meet the
-   first line of that key, one pair a line (the leader on most keys), so that a group of thousands of
-   variants of a line costs a pair a member.  Lines that this removes don't probe.
+3. Neighbouring words of the prefix are a key.  Each line meets the first line of each of its keys, if the
+   length and parity filters let it, and is verified against the one met most often: one pair a line, so
+   that a group of thousands of variants of a line costs a pair a member.  Lines that this removes don't
+   probe.
 4. The others meet all earlier lines on their prefix words, under the length filter, the positional
    filter and a 128-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
 5. What remains is verified on the words themselves.
+
+Equal lines are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, written
+from .shared import free_prefix, table, written
 
 #: Buckets of the word counts: the bound of the rarity table.
 BUCKETS = 1 << 18
-#: Rows up to which a list of lines or documents is broadcast (about 40 bytes each); beyond, shuffled joins.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a list of lines is broadcast (about 50 bytes each), or line numbers in a list of
+#: documents; beyond, shuffled joins.
+BROADCAST_ROWS = 400_000
 FIRST_KEY = -(2**63)
 HASH_BITS = 50
 
@@ -63,6 +67,11 @@ def prefix_length(n: Column) -> Column:
     return n - F.floor((4 * n + 4) / F.lit(5)) + 1
 
 
+def index_length(n: Column) -> Column:
+    """The prefix that a partner of no smaller size must touch."""
+    return n - F.floor((8 * n + 8) / F.lit(9)) + 1
+
+
 def _bits(tokens: Column, half: int) -> Column:
     """One half of the parity bitmap: a token flips the bit that 7 bits of its hash name."""
     here = lambda x: F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(1))
@@ -70,21 +79,23 @@ def _bits(tokens: Column, half: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", flip(x), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
 def line_sets(reps: DataFrame, classes: list[int]) -> DataFrame:
-    """Of each distinct line: lid, k, rk, line_no, n, parity, prefix and norm.
+    """Of each distinct line: lid, k, n, parity and prefix.
 
     A token is its rarity class above HASH_BITS bits of hash, so tokens sort by rarity."""
-    held = F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), T.ArrayType(T.LongType(), False))  # BUCKETS numbers
-    rank = lambda x: F.call_function("shiftleft", F.element_at(held, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1), F.lit(HASH_BITS)).bitwiseOR(x.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    held = F.from_json(F.lit("[" + ",".join(str(c << HASH_BITS) for c in classes) + "]"), T.ArrayType(T.LongType(), False))  # BUCKETS numbers
+    rank = lambda x: F.get(held, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64 - HASH_BITS)))
     hashed = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
     sets = reps.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), rank)))).withColumn("n", F.size("tokens"))
     return sets.select(
-        "lid", "k", "rk", "line_no", "n", "norm",
+        "lid", "k", "n",
         _bits(F.col("tokens"), 0).alias("b1"),
         _bits(F.col("tokens"), 1).alias("b2"),
         F.slice("tokens", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix"),
-        F.xxhash64(F.lit(1), F.slice("tokens", 1, 3)).alias("m1"),
-        F.when(F.col("n") >= 6, F.xxhash64(F.lit(2), F.slice("tokens", 4, 3))).alias("m2"),
     )
 
 
@@ -94,44 +105,56 @@ def _alike(na: Column, nb: Column, a1: Column, a2: Column, b1: Column, b2: Colum
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (apart <= na + nb - 2 * least_overlap(na + nb))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """lid of the lines x of pairs (x, y) for which y is earlier and similar enough."""
-    pairs = written(pairs.distinct(), "line-pairs")
+def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """lid of the lines x of pairs (x, y), each given once, for which y is earlier and similar enough."""
+    pairs = written(pairs, "line-pairs")
     ids = written(pairs.select(F.col("x").alias("lid")).union(pairs.select("y")).distinct(), "line-ids")
-    some = sets.select("lid", "k", "rk", "line_no", "norm").join(_broadcast_if_small(ids), "lid", "left_semi")
+    some = reps.join(_broadcast_if_small(ids), "lid", "left_semi")
     side = lambda s: some.select(F.col("lid").alias(s), F.struct("k", "rk", "line_no").alias(f"at_{s}"), words(F.col("norm")).alias(f"w_{s}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").where("at_y < at_x")
     common = F.size(F.array_intersect("w_x", "w_y"))
     return both.where(9 * common >= 4 * (F.size("w_x") + F.size("w_y"))).select(F.col("x").alias("lid")).distinct()
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, rk, line_no of every line that goes."""
+def distinct_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """lid, k, rk, line_no and norm of each different line where it first stands; k, rk, line_no of its copies."""
     lines = lines_of(docs, key, text)
     at = F.struct("k", "rk", "line_no")
-    again = written(lines.groupBy("lid").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("lid", "first"), "line-copies")
-    marked = lines.join(_broadcast_if_small(again), "lid", "left").withColumn("is_first", F.coalesce(F.col("first") == at, F.lit(True)))
-    reps = marked.where("is_first").select("lid", "k", "rk", "line_no", "norm").where(F.length("norm") > 0)
-    copies = marked.where("not is_first").select("k", "rk", "line_no")
+    again = written(lines.groupBy("lid").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("lid", "at"), "line-copies")
+    marked = lines.join(_broadcast_if_small(again), "lid", "left").withColumn("first", F.coalesce(F.col("at") == at, F.lit(True)))
+    marked = written(marked.select("lid", "k", "rk", "line_no", "first", F.when(F.col("first"), F.col("norm")).alias("norm")), "lines")
+    reps = marked.where("first").select("lid", "k", "rk", "line_no", "norm")
+    if not reps.groupBy("lid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():  # rows that agree in key and text
+        reps = written(reps.dropDuplicates(["lid"]), "lines-once")
+    return reps, marked.where("not first").select("k", "rk", "line_no")
+
+
+def leaders(sets: DataFrame) -> DataFrame:
+    """x and y: of the first lines of x's keys that the filters let x meet, that met most often."""
+    pair = lambda i: F.xxhash64(F.element_at("prefix", i), F.get("prefix", i))
+    keys = F.transform(F.sequence(F.lit(1), index_length(F.col("n")).cast("int")), pair)
+    keyed = sets.select("lid", "k", "n", "b1", "b2", F.explode(keys).alias("m"))
+    # of one line: the least by key and, where keys tie, any
+    lead = keyed.groupBy("m").agg(*[F.min_by(c, "k").alias(f"y_{c}") for c in ("lid", "n", "b1", "b2")], F.min("k").alias("yk"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    fits = _alike(F.col("n"), F.col("y_n"), F.col("b1"), F.col("b2"), F.col("y_b1"), F.col("y_b2"))
+    met = keyed.join(lead, "m").where((F.col("lid") != F.col("y_lid")) & fits).groupBy("lid", F.col("y_lid").alias("y")).agg(F.count(F.lit(1)).alias("times"), F.min("yk").alias("yk"))
+    return met.groupBy(F.col("lid").alias("x")).agg(F.max_by("y", F.struct("times", F.bitwise_not("yk").alias("early"))).alias("y"))
+
 
-    counts = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, rk, line_no of every line that goes."""
+    reps, copies = distinct_lines(docs, key, text)
+    counts = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     classes = [0] * BUCKETS
     for x in counts.collect():  # at most BUCKETS rows
         classes[x.b] = int(16 * math.log2(x.c + 1))
     sets = written(line_sets(reps, classes), "line-sets")
-
-    # one pair a line and key: with the key's first line
-    keys = F.array("m1", "m2", F.xxhash64(F.lit(3), "n", "b1"), F.xxhash64(F.lit(4), "n", "b2"))
-    keyed = sets.select("lid", "k", F.explode(keys).alias("m")).where("m is not null").repartition("m")
-    lead = keyed.groupBy("m").agg(F.min_by("lid", "k").alias("y"), F.min("k").alias("yk"), F.count(F.lit(1)).alias("c")).where("c > 1").select("m", "y", "yk")
-    met = keyed.join(lead, "m").where(F.col("y") != F.col("lid")).groupBy("lid", "y").agg(F.count(F.lit(1)).alias("agree"), F.min("yk").alias("yk"))
-    near = met.groupBy("lid").agg(F.max_by("y", F.struct("agree", F.bitwise_not("yk").alias("early"))).alias("y"))  # of a line's leaders that on most keys
-    covered = written(verified(near.select(F.col("lid").alias("x"), "y"), sets), "line-covered")
+    covered = written(verified(leaders(sets), reps), "line-covered")
 
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
     flagged = sets.join(_broadcast_if_small(covered.withColumn("covered", F.lit(True))), "lid", "left")
     size = F.when(F.col("covered"), -F.col("n")).otherwise(F.col("n"))
-    posted = flagged.select("lid", "k", size.alias("n"), "b1", "b2", F.posexplode("prefix").alias("i", "w")).repartition("w")
+    posted = flagged.select("lid", "k", size.alias("n"), "b1", "b2", F.posexplode("prefix").alias("i", "w"))
     x = posted.select(*[F.col(c).alias(f"x_{c}") for c in ("lid", "k", "n", "b1", "b2", "i", "w")])
     y = posted.select(*[F.col(c).alias(f"y_{c}") for c in ("lid", "k", "n", "b1", "b2", "i", "w")])
     xn, yn = F.col("x_n"), F.abs("y_n")
@@ -144,8 +167,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         & _alike(xn, yn, F.col("x_b1"), F.col("x_b2"), F.col("y_b1"), F.col("y_b2"))
         & (F.least(xn - F.col("x_i"), yn - F.col("y_i")) >= need),
     ).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
-    similar = verified(found, sets)
-    gone = sets.select("lid", "k", "rk", "line_no").join(_broadcast_if_small(written(covered.union(similar).distinct(), "line-gone")), "lid", "left_semi")
+    similar = verified(found.distinct(), reps)
+    gone = reps.select("lid", "k", "rk", "line_no").join(_broadcast_if_small(written(covered.union(similar).distinct(), "line-gone")), "lid", "left_semi")
     return copies.unionByName(gone.select("k", "rk", "line_no"))
 
 
@@ -158,16 +181,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     through; columns already named like the counts are replaced.  An empty table stays empty.
     """
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c in docs.columns])
-    gone = removed_lines(docs, key, text).groupBy("k", "rk").agg(F.collect_set("line_no").alias("gone"))  # within a document
-    gone = _broadcast_if_small(written(gone.withColumnsRenamed({"k": "__k", "rk": "__rk", "gone": "__gone"}), "line-removed"))
-    k = F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY))
-    joined = docs.withColumns({"__a": k, "__b": F.xxhash64(F.col(text))}).join(gone, (F.col("__a") == F.col("__k")) & (F.col("__b") == F.col("__rk")), "left")
-    joined = joined.withColumn("__parts", F.split(F.col(text), "\n"))
-    count = F.coalesce(F.size("__parts"), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
-    clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__parts"), i + 1)), "\n"))
-    out = joined.withColumns({"n_lines": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"), "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), "__text": clean})
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_removed")
+    own = free_prefix(docs.columns)
+    k, rk, gone, parts, new = (own + c for c in ("k", "rk", "gone", "parts", "text"))
+    lists = removed_lines(docs, key, text).groupBy(F.col("k").alias(k), F.col("rk").alias(rk)).agg(F.collect_set("line_no").alias(gone))  # within a document
+    lists = written(lists, "line-removed")
+    few = lists.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    joined = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)), rk: F.xxhash64(F.col(text))})
+    joined = joined.join(F.broadcast(lists) if few else lists, [k, rk], "left").withColumn(parts, F.split(F.col(text), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col(parts), i + 1)), "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size(parts), F.lit(0))).cast("long")
+    out = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"), new: clean})
+    return out.select(*[F.col(new).alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

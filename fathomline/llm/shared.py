@@ -39,6 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix of names of our own that none of the columns begins with."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def empty_if_null(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
