@@ -6,15 +6,17 @@ A document is the set of its 5-word shingles; documents link at a Jaccard simila
    here on) and counts all shingles in a bounded table of hash buckets.
 2. The global order of shingles is by rarity class of the bucket, then by hash.  Of each set the prefix
    that any partner must touch (n - ceil(0.75 n) + 1 shingles) is dealt by shingle.
-3. First every set meets the smallest set of each of its prefix lists only, so that a group of thousands
-   of near copies costs one row a member and list, not one a pair.  Pairs that share too few prefix
-   shingles to reach 0.75 are dropped by count; of the others, that with most in common is verified.
+3. Each set meets one set of each of its prefix lists only: the pivot, which shares lists with the most
+   sets.  Of a group of near copies that is a text close to their common origin, so that most members link
+   to it at once, at the cost of one row a member and list.  Pairs that share too few prefix shingles to
+   reach 0.75 are dropped by count; of the others, that with most in common is verified.
 4. Verification gathers the partners of one set in blocks.  Their ordered sets form a trie (in sorted
    order, each shares the nodes of its common prefix with the one before); it is walked with the
    overlaps so far, and branches whose remaining lengths can't reach the bound are pruned.
-5. The found links give components; prefix lists that still span more than one component give their
-   remaining cross-component pairs, which are verified too.  No link between components is lost, and
-   no pair inside one is made needlessly.
+5. The found links give components.  Lists that still span more than one component give their pairs across
+   components, at those shared shingles only from which on both sets have as many such lists left as the
+   least overlap asks for.  Pairs that then share enough of them are verified too.  No link between
+   components is lost, and pairs inside one are not made.
 
 Shingles are told apart by 64-bit hashes (58 bits below the rarity class).
 """
@@ -36,7 +38,7 @@ WORDS = 5
 BUCKETS, SLICE = 1 << 20, 1 << 14
 #: Partners of one set that are verified together.
 BLOCK = 256
-#: Rows up to which a list of documents is broadcast (8 bytes each); beyond, a shuffled join.
+#: Rows up to which a list of sets is broadcast (24 bytes each); beyond, a shuffled join.
 BROADCAST_ROWS = 500_000
 #: Odd multipliers of the word hash and of the shingle hash.
 BYTE, WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -113,16 +115,16 @@ def least_overlap(a, b):
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, sig of every row.  kind 1: slice and counts of the shingle buckets of a partition."""
-    schema = "kind int, doc_id long, n long, sig long, slice int, counts binary"
-    names = ["kind", "doc_id", "n", "sig", "slice", "counts"]
+    """kind 0: doc_id, th, n, sig of every row.  kind 1: slice and counts of the shingle buckets of a partition."""
+    schema = "kind int, doc_id long, th long, n long, sig long, slice int, counts binary"
+    names = ["kind", "doc_id", "th", "n", "sig", "slice", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, dtype=np.uint32)
         seen = False
         for b in batches:
             n, sig = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t or "")
                 n.append(len(s))
                 sig.append(signature(s))
@@ -130,7 +132,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             seen = True
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * k, pa.int32()), b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+                [pa.array([0] * k, pa.int32()), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
             )
         if seen:
             parts = [(i, counts[i * SLICE : (i + 1) * SLICE]) for i in range(BUCKETS // SLICE)]
@@ -138,7 +140,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
             k = len(parts)
             none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * k, pa.int32()), none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names
+                [pa.array([1] * k, pa.int32()), none, none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=names
             )
 
     return docs.mapInArrow(run, schema)
@@ -254,11 +256,10 @@ def verify(pairs: DataFrame, sets: DataFrame, classes) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """a, b, na, nb, a row per shared prefix shingle, to the pairs that share enough to reach 0.75."""
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    beyond = F.greatest(F.col("na") - prefix_floor("na"), F.col("nb") - prefix_floor("nb"))
-    return counted.where(F.col("c") >= F.floor((3 * (F.col("na") + F.col("nb")) + 6) / F.lit(7)) - beyond).select("a", "b", "c")
+def _least_shared(a: str, b: str):
+    """How many prefix shingles sets of the sizes a and b share at least where they reach 0.75."""
+    beyond = F.greatest(F.col(a) - prefix_floor(a), F.col(b) - prefix_floor(b))
+    return F.floor((3 * (F.col(a) + F.col(b)) + 6) / F.lit(7)) - beyond
 
 
 def prefix_floor(n: str):
@@ -300,33 +301,43 @@ def marked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     first = written(first_pass(source), "jaccard-sets")
-    marked = first.where("kind = 0").select("doc_id", "n", "sig")
+    marked = first.where("kind = 0").select("doc_id", "th", "n", "sig")
     classes = spark.sparkContext.broadcast(rarity_classes(first))  # BUCKETS bytes
-
-    lists = Window.partitionBy("h")
-    spread = postings(source, classes).repartition("h")
-    spread = spread.withColumn("low", F.min(F.struct("sig", "n")).over(lists)).withColumn("high", F.max("sig").over(lists))
-    live = written(spread.where(F.col("low.sig") != F.col("high")).select("h", "sig", "n", F.col("low.sig").alias("a"), F.col("low.n").alias("na")).distinct(), "jaccard-lists")
-
-    one = live.where(F.col("sig") != F.col("a")).select("a", F.col("sig").alias("b"), "na", F.col("n").alias("nb")).where(near("na", "nb"))
-    # of the smallest sets that one meets, that with most prefix shingles in common: one link a member
-    best = _possible(one).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best"))
-    tried = written(best.select(F.col("best.a").alias("a"), "b"), "jaccard-pairs")
-    nodes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    # of each set the row with the smallest key
+    nodes = marked.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min_by("th", "doc_id").alias("th"))
+
+    # lists of two sets and more, and the pivot of each
+    spread = written(postings(source, classes), "jaccard-postings")
+    shared = spread.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h")
+    live = written(spread.join(shared, "h").distinct(), "jaccard-lists")
+    sized = live.join(live.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h")
+    weighed = live.join(sized.groupBy("sig").agg(F.sum("m").alias("weight")), "sig")
+    pivots = weighed.groupBy("h").agg(F.max("weight").alias("top"), F.max_by("sig", F.struct("weight", "sig")).alias("a"), F.max_by("n", F.struct("weight", "sig")).alias("na"))
+    one = live.withColumnRenamed("sig", "b").withColumnRenamed("n", "nb").join(pivots.select("h", "a", "na"), "h").where((F.col("a") != F.col("b")) & near("na", "nb"))
+    counted = one.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least_shared("na", "nb"))
+    best = counted.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))  # one link a member
+    tried = written(best.select("a", "b"), "jaccard-pairs")
     linked = written(verify(tried, _texts(source, nodes, tried), classes), "jaccard-links")
-    label = forest_roots(linked, "b", "a")  # of each set one link to a smaller one
+    label = forest_roots(linked, "b", "a")  # a pivot outweighs those that it is met by: no cycles
 
     # lists that span components: their pairs across components that were not tried
-    named = live.select("h", "sig", "n").join(label, live.sig == label.node, "left").withColumn("part", F.coalesce("component", "sig")).select("h", "sig", "n", "part")
-    named = named.repartition("h")
-    open_ = named.withColumn("least", F.min("part").over(lists)).withColumn("most", F.max("part").over(lists)).where("least <> most").select("h", "sig", "n", "part")
+    named = written(live.join(label, live.sig == label.node, "left").select("h", "sig", "n", F.coalesce("component", "sig").alias("part")), "jaccard-named")
+    spans = named.groupBy("h").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("h")
+    own = Window.partitionBy("sig")  # the prefix of one set
+    open_ = named.join(spans, "h").withColumn("left", F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("h")) + 1)
     open_ = written(open_, "jaccard-open")
-    left = open_.select("h", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = open_.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    across = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("na", "nb"))
-    rest = written(_possible(across.select("a", "b", "na", "nb")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "jaccard-more-pairs")
+    sides = [open_.select("h", F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("part").alias(f"p{c}"), F.col("left").alias(f"l{c}")) for c in "ab"]
+    enough = F.least("la", "lb") >= _least_shared("na", "nb")
+    across = sides[0].join(sides[1], "h").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near("na", "nb") & enough)
+    pairs = written(across.select("a", "b", "na", "nb").distinct(), "jaccard-across")
+    both = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    held = open_.join(both, "sig", "left_semi").groupBy("sig").agg(F.collect_list("h").alias("hs"))  # the prefix of one set
+    held = written(held, "jaccard-prefixes")
+    met = pairs.join(held.toDF("a", "ha"), "a").join(held.toDF("b", "hb"), "b").where(F.size(F.array_intersect("ha", "hb")) >= _least_shared("na", "nb"))
+    back = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(met.select("a", "b").join(back, ["a", "b"], "left_anti"), "jaccard-more-pairs")
     more = written(verify(rest, _texts(source, nodes, rest), classes), "jaccard-more-links")
     if not more.isEmpty():  # links between whole components
         of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
@@ -344,18 +355,12 @@ def marked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def _texts(source: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """sig and text of the sets in pairs: of each, the text of one document."""
+    """sig and text of the sets in pairs, each once."""
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(nodes, "sig")
-    wanted = written(wanted.select("sig", "doc_id"), "jaccard-wanted")
+    wanted = written(wanted.select("sig", "doc_id", "th"), "jaccard-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    picked = source.join(F.broadcast(wanted) if few else wanted, "doc_id")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # of rows that share a key, those whose set it is
-            keep = [signature(shingles(t or "")) == s for s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return picked.select("sig", "text").mapInArrow(same, "sig long, text string")
+    picked = source.join(F.broadcast(wanted) if few else wanted, ["doc_id", "th"]).select("sig", "text")
+    return picked.dropDuplicates(["sig"])  # rows that agree in key and text
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

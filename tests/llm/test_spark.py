@@ -129,6 +129,24 @@ def test_jaccard(spark, docs, none):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame).collect()} == brute_components(list(enumerate(more)))
 
 
+def test_jaccard_gives_a_row_a_document(spark):
+    a = sentence(60)
+    near = [a.replace(w, f"new{i}", 1) for i, w in enumerate(a.split()[10:40:6])]
+    rows = [(1, a), (2, near[0]), (2, near[0]), (3, near[1]), (3, near[1]), (3, near[1]), (4, sentence(60))]
+    rows += [(None, near[2])] * 5 + [(None, near[3]), (5, None), (5, "")]
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 1): 3, (4, 4): 1, (None, 1): 6, (5, 5): 2}
+
+
+def test_jaccard_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    # variants of one text around the threshold, the first of them not the closest to the others
+    words = sentence(80).split()
+    rows = [(i, " ".join(w if RNG.random() > 0.03 else f"x{RNG.randrange(99)}" for w in words)) for i in range(90)] + [(200, " ".join(words))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame).collect()} == brute_components(rows)
+
+
 def test_components(spark):
     for links in ([], [(1, 1), (None, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 50)], [(RNG.randrange(60), RNG.randrange(60)) for _ in range(45)]):
         root = {}
@@ -154,9 +172,17 @@ def test_forest(spark):
     assert components.forest_roots(spark.createDataFrame([], "b long, a long"), "b", "a").count() == 0
 
 
+def text_hash(t):
+    """As xxhash64 of Spark, signed: what orders the texts of one key."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(t.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def brute_lines(rows):
     seen, gone = [], collections.defaultdict(set)
-    order = sorted({(lines.FIRST_KEY if i is None else i, t) for i, t, *_ in rows if t is not None}, key=lambda x: x[0])
+    order = sorted({(lines.FIRST_KEY if i is None else i, t) for i, t, *_ in rows if t is not None}, key=lambda x: (x[0], text_hash(x[1])))
     for i, t in order:
         now = []
         for n, line in enumerate(t.split("\n")):
@@ -192,6 +218,19 @@ def test_line_variants(spark):
     assert got == {i: len(gone[i, t]) for i, t in rows}
 
 
+def test_lines_beyond_the_broadcast_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    words = sentence(25).split()
+    rows = [(i // 2, "\n".join(" ".join(w if RNG.random() > 0.05 else f"x{RNG.randrange(9)}" for w in words) for _ in range(2)) + "\n" + sentence(12), 7, 8) for i in range(30)]
+    rows += [(None, rows[0][1], 1, 2)] * 6
+    gone = brute_lines(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __k int, __gone int")
+    out = lines.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_removed"]
+    got = collections.Counter((r.doc_id, r.n_removed, r["__k"], r["__gone"]) for r in out.collect())
+    assert got == collections.Counter((i, len(gone[lines.FIRST_KEY if i is None else i, t]), a, b) for i, t, a, b in rows)
+
+
 def test_language(spark, docs, none):
     model = language.train(docs)
     out = language.identify(docs, model)
