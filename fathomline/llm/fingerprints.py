@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions, small_batches, table
@@ -154,19 +154,27 @@ def add_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint")
 LOWEST = -(2**63)
 
 
+def part_of(edges: Column, n: int, k: Column) -> Column:
+    """How many of n rising edges are at k or above: a binary search, a power of two a step."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(n, 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(edges, at + step - 1) < k), at + step).otherwise(at))
+    return F.lit(n) - below
+
+
 def with_neighbour(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt to range partitions of descending key, so that the next document is at hand there.
 
-    The cuts are quantiles of the key.  Each partition also gets, as guests, the rows that come first
-    in the next partition that has any (after the last, the first).  Columns: part, guest, k, key and text.
+    The cuts are quantiles of the key; there are as many ranges as the input has partitions, or shuffle
+    partitions if those are more, so a range doesn't grow with the data.  Each partition also gets, as
+    guests, the rows that come first in the next partition that has any (after the last, the first).
+    Columns: part, guest, k, key and text.
     """
     d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = max(2, 2 * shuffle_partitions(docs.sparkSession))
-    cuts = sorted(set(d.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)))
-    cuts = [int(c) for c in cuts]
+    parts = max(2, shuffle_partitions(docs.sparkSession), d.rdd.getNumPartitions())
+    cuts = sorted({int(c) for c in d.approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)})
     edges = F.from_json(F.lit(str(cuts)), "array<bigint>")
     # the part number grows as the key falls
-    d = d.withColumn("part", F.size(F.filter(edges, lambda c: c >= F.col("k"))) if cuts else F.lit(0))
+    d = d.withColumn("part", part_of(edges, len(cuts), F.col("k")))
     tops = d.groupBy("part").agg(F.max("k").alias("top")).collect()  # one row a partition
     order = sorted((x.part, x.top) for x in tops)
     guests = [(order[(i + 1) % len(order)][1], p) for i, (p, _) in enumerate(order)]

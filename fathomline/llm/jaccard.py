@@ -295,8 +295,9 @@ def marked_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """doc_id, n_shingles, component_id (the smallest key that links reach) sig, a mark of the
     set, and part, a mark of the component (null without shingles).
 
-    Null and empty texts have no shingle and link with nothing, so component_id is their own key.  Rows
-    of one key are one node for links.  Null keys link like others; component_id is null where no row
+    Null and empty texts have no shingle and link with nothing, so component_id is their own key.  A row
+    in gives a row out, repeated or not; different texts of one key are nodes of their own.  Null keys link
+    like others; component_id is null where no row
     of the component has a key.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
