@@ -30,9 +30,11 @@ from .shared import free_prefix, table, written
 
 #: Buckets of the word counts: the bound of the rarity table.
 BUCKETS = 1 << 18
-#: Rows up to which a list of lines is broadcast (about 50 bytes each), or line numbers in a list of
-#: documents; beyond, shuffled joins.
+#: Rows up to which a list of lines is broadcast (about 50 bytes each); beyond, shuffled joins.
 BROADCAST_ROWS = 400_000
+#: Documents and line numbers in all up to which the list of removed lines is broadcast (8 to 40 bytes each):
+#: beyond, whole texts are shuffled.
+BROADCAST_NUMBERS = 1_000_000
 FIRST_KEY = -(2**63)
 HASH_BITS = 50
 
@@ -132,13 +134,12 @@ def distinct_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 def leaders(sets: DataFrame) -> DataFrame:
     """x and y: of the first lines of x's keys that the filters let x meet, that met most often."""
     pair = lambda i: F.xxhash64(F.element_at("prefix", i), F.get("prefix", i))
-    keys = F.transform(F.sequence(F.lit(1), index_length(F.col("n")).cast("int")), pair)
-    keyed = sets.select("lid", "k", "n", "b1", "b2", F.explode(keys).alias("m"))
-    # of one line: the least by key and, where keys tie, any
-    lead = keyed.groupBy("m").agg(*[F.min_by(c, "k").alias(f"y_{c}") for c in ("lid", "n", "b1", "b2")], F.min("k").alias("yk"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    m = F.explode(F.transform(F.sequence(F.lit(1), index_length(F.col("n")).cast("int")), pair)).alias("m")
+    first = sets.select("lid", "k", m).groupBy("m").agg(F.min_by("lid", "k").alias("lid"), F.count(F.lit(1)).alias("c")).where("c > 1")  # where keys tie, any
+    lead = first.select("m", "lid").join(sets.select("lid", "n", "b1", "b2"), "lid").toDF("y", "m", "y_n", "y_b1", "y_b2")
     fits = _alike(F.col("n"), F.col("y_n"), F.col("b1"), F.col("b2"), F.col("y_b1"), F.col("y_b2"))
-    met = keyed.join(lead, "m").where((F.col("lid") != F.col("y_lid")) & fits).groupBy("lid", F.col("y_lid").alias("y")).agg(F.count(F.lit(1)).alias("times"), F.min("yk").alias("yk"))
-    return met.groupBy(F.col("lid").alias("x")).agg(F.max_by("y", F.struct("times", F.bitwise_not("yk").alias("early"))).alias("y"))
+    met = sets.select("lid", "n", "b1", "b2", m).join(lead, "m").where((F.col("lid") != F.col("y")) & fits)
+    return met.groupBy(F.col("lid").alias("x"), "y").agg(F.count(F.lit(1)).alias("times")).groupBy("x").agg(F.max_by("y", "times").alias("y"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -185,7 +186,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     k, rk, gone, parts, new = (own + c for c in ("k", "rk", "gone", "parts", "text"))
     lists = removed_lines(docs, key, text).groupBy(F.col("k").alias(k), F.col("rk").alias(rk)).agg(F.collect_set("line_no").alias(gone))  # within a document
     lists = written(lists, "line-removed")
-    few = lists.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    few = lists.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
     joined = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)), rk: F.xxhash64(F.col(text))})
     joined = joined.join(F.broadcast(lists) if few else lists, [k, rk], "left").withColumn(parts, F.split(F.col(text), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))

@@ -220,6 +220,7 @@ def test_line_variants(spark):
 
 def test_lines_beyond_the_broadcast_and_clashing_names(spark, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_NUMBERS", 0)
     words = sentence(25).split()
     rows = [(i // 2, "\n".join(" ".join(w if RNG.random() > 0.05 else f"x{RNG.randrange(9)}" for w in words) for _ in range(2)) + "\n" + sentence(12), 7, 8) for i in range(30)]
     rows += [(None, rows[0][1], 1, 2)] * 6
