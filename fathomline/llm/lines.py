@@ -35,6 +35,8 @@ BROADCAST_ROWS = 400_000
 #: Documents and line numbers in all up to which the list of removed lines is broadcast (8 to 40 bytes each):
 #: beyond, whole texts are shuffled.
 BROADCAST_NUMBERS = 1_000_000
+#: Keys of a line in the round of leaders; what it leaves meets all earlier lines.
+KEYS = 8
 FIRST_KEY = -(2**63)
 HASH_BITS = 50
 
@@ -134,7 +136,7 @@ def distinct_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 def leaders(sets: DataFrame) -> DataFrame:
     """x and y: of the first lines of x's keys that the filters let x meet, that met most often."""
     pair = lambda i: F.xxhash64(F.element_at("prefix", i), F.get("prefix", i))
-    m = F.explode(F.transform(F.sequence(F.lit(1), index_length(F.col("n")).cast("int")), pair)).alias("m")
+    m = F.explode(F.transform(F.sequence(F.lit(1), F.least(index_length(F.col("n")), F.lit(KEYS)).cast("int")), pair)).alias("m")
     first = sets.select("lid", "k", m).groupBy("m").agg(F.min_by("lid", "k").alias("lid"), F.count(F.lit(1)).alias("c")).where("c > 1")  # where keys tie, any
     lead = first.select("m", "lid").join(sets.select("lid", "n", "b1", "b2"), "lid").toDF("y", "m", "y_n", "y_b1", "y_b2")
     fits = _alike(F.col("n"), F.col("y_n"), F.col("b1"), F.col("b2"), F.col("y_b1"), F.col("y_b2"))

@@ -2,9 +2,11 @@
 
 Every document's ids are cut into full windows and one rest.  The histogram of the rests (at most
 window - 1 lengths, whatever the corpus) goes to the driver, which enumerates the shallow combinations
-of lengths that fill a window exactly (one to three pieces), solves how often each should repeat so that
-together they use up the histogram, and rounds the counts down within it.  What is left is packed
-greedily: the residual pieces, longest first, are laid end to end and cut at the window's edge.
+of lengths that fill a window exactly (one to three pieces) and solves by non-negative least squares how
+often each should repeat so that together they use up the histogram.  An active set keeps the solution
+to few combinations with large counts; these are rounded down, then up where the histogram still allows.
+What is left is packed greedily: first by any combination that still fits, then the residual pieces,
+longest first, go into the open sequence and are cut where it ends.
 
 Which piece takes which place follows from ranks: a piece's length, its rank among the pieces of that
 length (a count a source partition, plus the rank inside the partition) and the table of planned ranks.
@@ -43,64 +45,78 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], axis=1)
 
 
-def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that makes sum_j x_j * (uses of each length by combination j) close to the histogram, in
-    squares weighted by 1 / (count + 1): accelerated projected gradient steps on the sparse columns."""
-    if not len(columns):
-        return np.zeros(0)
-    n = len(histogram)
-    weight = 1.0 / (histogram + 1.0)
-    weight[0] = 0.0
-    flat = columns.ravel()
-    # a bound of the largest eigenvalue: the largest row sum of A' W A
+def descend(columns: np.ndarray, histogram: np.ndarray, x: np.ndarray, steps: int) -> np.ndarray:
+    """Accelerated projected gradient steps from x on the least squares of these columns alone."""
+    flat, n = columns.ravel(), len(histogram)
     uses = np.bincount(flat, minlength=n).astype(float)
-    step = 1.0 / max((weight[columns] * uses[columns]).sum(axis=1).max() * 1.0, 1e-12)
-    x = y = np.zeros(len(columns))
-    t = 1.0
-    for _ in range(rounds):
-        used = np.bincount(flat, weights=np.repeat(y, 3), minlength=n)
-        gradient = (weight * (used - histogram))[columns].sum(axis=1)
-        nxt = np.maximum(y - step * gradient, 0)
+    uses[0] = 0.0
+    step = 1.0 / uses[columns].sum(axis=1).max()  # the largest row sum of A' A bounds its largest eigenvalue
+    y, t = x, 1.0
+    for _ in range(steps):
+        over = np.bincount(flat, weights=np.repeat(y, 3), minlength=n) - histogram
+        over[0] = 0.0
+        nxt = np.maximum(y - step * over[columns].sum(axis=1), 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y, x, t = nxt + (t - 1) / t2 * (nxt - x), nxt, t2
     return x
 
 
+def solve(columns: np.ndarray, histogram: np.ndarray, rounds: int = 16, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative least squares by an active set: which columns, and x > 0 of each, that make
+    sum_j x_j * (uses of each length by column j) close to the histogram.
+
+    A round admits the columns of steepest descent, at most one for each length, solves for all admitted
+    ones and lets go of those at zero; so no length is shared by more than ``rounds`` columns, which keeps
+    the system well scaled and the solution sparse.
+    """
+    active, x = np.zeros(0, dtype=np.int64), np.zeros(0)
+    if not len(columns):
+        return active, x
+    n = len(histogram)
+    twice = (columns[:, 0] == columns[:, 1]).astype(float) + ((columns[:, 1] == columns[:, 2]) & (columns[:, 1] > 0)) + ((columns[:, 0] == columns[:, 2]))
+    norm = np.sqrt((columns > 0).sum(axis=1) + 2 * twice)
+    for _ in range(rounds):
+        left = histogram - np.bincount(columns[active].ravel(), weights=np.repeat(x, 3), minlength=n)
+        left[0] = 0.0
+        gain = left[columns].sum(axis=1) / norm
+        gain[active] = 0.0
+        best = np.flatnonzero(gain > 1e-3 * max(1.0, histogram.max() * 1e-3))
+        if len(best) > 16 * n:
+            best = best[np.argpartition(-gain[best], 16 * n)[: 16 * n]]
+        taken, new = {-1}, []
+        for j, parts in zip(best[(order := np.argsort(-gain[best], kind="stable"))].tolist(), columns[best[order]].tolist()):
+            parts = {p for p in parts if p}
+            if not parts & taken:
+                taken |= parts
+                new.append(j)
+        if not new:
+            break
+        active, x = np.concatenate([active, np.array(new, dtype=np.int64)]), np.concatenate([x, np.zeros(len(new))])
+        x = descend(columns[active], histogram, x, steps)
+        active, x = active[x > 1e-6], x[x > 1e-6]
+    return active, x
+
+
 def plan(histogram: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Where the pieces of each length go, by rank.
 
     ``planned[r]`` pieces of length r have a planned place.  Interval i says that the ranks from
     ``rank[i]`` to the next interval's of length ``length[i]`` go to consecutive sequences from
     ``sequence[i]`` on, at ``offset[i]``.  The residual pieces of length r begin at ``residual[r]`` of the
-    stream that fills the sequences from ``planned_sequences`` on.
+    stream that fills the sequences from ``planned_sequences`` on; the first ``solved_sequences`` come from
+    the least squares.
     """
     left = histogram.astype(np.int64).copy()
     columns = combinations(np.flatnonzero(left), window)
-    x = solve(columns, left.astype(float))
+    active, x = solve(columns, left.astype(float))
     rows, taken, base = [], np.zeros(window + 1, dtype=np.int64), 0
-    for j in np.argsort(-x, kind="stable"):
-        parts = columns[j][columns[j] > 0]
-        kinds, uses = np.unique(parts, return_counts=True)
-        count = int(min(np.floor(x[j] + 0.5), (left[kinds] // uses).min()))
-        if count <= 0:
-            if x[j] < 0.5:
-                break
-            continue
-        left[kinds] -= uses * count
-        offset = 0
-        for r in parts:
-            rows.append((int(r), int(taken[r]), base, offset))
-            taken[r] += count
-            offset += int(r)
-        base += count
-    # combinations of two or three that the rounding left over
-    for j in np.argsort(columns.astype(bool).sum(axis=1), kind="stable") if len(columns) else ():
+
+    def use(j: int, most: float) -> int:
+        nonlocal base
         parts = columns[j][columns[j] > 0]
-        if (left[parts] == 0).any():
-            continue
         kinds, uses = np.unique(parts, return_counts=True)
-        count = int((left[kinds] // uses).min())
-        if count:
+        count = int(min(most, (left[kinds] // uses).min()))
+        if count > 0:
             left[kinds] -= uses * count
             offset = 0
             for r in parts:
@@ -108,6 +124,17 @@ def plan(histogram: np.ndarray, window: int) -> dict[str, np.ndarray]:
                 taken[r] += count
                 offset += int(r)
             base += count
+        return count
+
+    for j, v in zip(active, np.floor(x)):  # down
+        use(j, v)
+    for j in active[np.argsort(np.floor(x) - x, kind="stable")]:  # then up, the largest fractions first
+        use(j, 1)
+    solved = base
+    # combinations that still fit, those of few pieces first
+    open_ = np.flatnonzero(((left[columns] > 0) | (columns == 0)).all(axis=1))
+    for j in open_[np.argsort((columns[open_] > 0).sum(axis=1), kind="stable")]:
+        use(j, np.inf)
     rows.sort()
     table_ = np.array(rows, dtype=np.int64).reshape(-1, 4)
     longest_first = np.arange(window + 1)[::-1]
@@ -116,7 +143,7 @@ def plan(histogram: np.ndarray, window: int) -> dict[str, np.ndarray]:
     residual[longest_first] = before - (left * np.arange(window + 1))[longest_first]
     return {
         "planned": taken, "length": table_[:, 0], "rank": table_[:, 1], "sequence": table_[:, 2], "offset": table_[:, 3],
-        "residual": residual, "planned_sequences": np.int64(base), "residual_tokens": np.int64((left * np.arange(window + 1)).sum()),
+        "residual": residual, "planned_sequences": np.int64(base), "solved_sequences": np.int64(solved), "residual_tokens": np.int64((left * np.arange(window + 1)).sum()),
     }
 
 
@@ -209,7 +236,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     ranked = slim.join(edge.drop("planned"), ["pid", "rest"])
 
     lookup = {k: v for k, v in made.items()}
-    shared = spark.sparkContext.broadcast(lookup)  # at most three intervals a combination of lengths
+    shared = spark.sparkContext.broadcast(lookup)  # at most three intervals a combination used of lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

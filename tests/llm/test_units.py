@@ -56,6 +56,49 @@ def test_plan_places_every_piece_once(seed):
         assert p["residual_tokens"] < 0.35 * (histogram * np.arange(window + 1)).sum()
 
 
+def plain_nnls(a, b):
+    """Lawson and Hanson's active set method, one column at a time."""
+    x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
+    for _ in range(10 * a.shape[1]):
+        w = a.T @ (b - a @ x)
+        w[passive] = -1
+        if w.max() < 1e-8:
+            break
+        passive[w.argmax()] = True
+        while True:
+            s = np.zeros_like(x)
+            s[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            if s[passive].min() > 0:
+                break
+            low = passive & (s <= 0)
+            x += (x[low] / (x[low] - s[low])).min() * (s - x)
+            passive &= x > 1e-12
+        x = s
+    return x
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_least_squares_are_the_plain_ones(seed):
+    rng = np.random.default_rng(seed)
+    window = 48
+    histogram = np.zeros(window + 1)
+    histogram[1:window] = rng.integers(0, 60, window - 1) * (rng.random(window - 1) < 0.7)
+    columns = packing.combinations(np.flatnonzero(histogram), window)
+    a = np.stack([np.bincount(c, minlength=window + 1) for c in columns], axis=1).astype(float)[1:]
+    active, x = packing.solve(columns, histogram)
+    ours, best = (np.linalg.norm(a[:, active] @ x - histogram[1:]), np.linalg.norm(a @ plain_nnls(a, histogram[1:]) - histogram[1:]))
+    assert (x > 0).all() and len(set(active.tolist())) == len(active) and ours <= best + 0.02 * np.linalg.norm(histogram)
+
+
+def test_most_windows_come_from_the_least_squares():
+    rng = np.random.default_rng(9)
+    histogram = np.append(np.bincount(np.minimum(rng.gamma(2.0, 300.0, 40_000).astype(int) + 1, 2047), minlength=2048), 0)
+    p = packing.plan(histogram, 2048)
+    assert p["solved_sequences"] >= 0.9 * p["planned_sequences"]
+    nothing = packing.plan(np.zeros(2049, dtype=np.int64), 2048)
+    assert nothing["planned_sequences"] == 0 and nothing["residual_tokens"] == 0
+
+
 def test_bins():
     rng = np.random.default_rng(1)
     v = rng.integers(1, 100, (400, 3)).astype(float)
