@@ -7,7 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.store import Versions
 
 MASK = (1 << 64) - 1
 #: Commits used, least number of examples, new commits before a refit.
@@ -91,13 +95,21 @@ def revision(weights: np.ndarray) -> str:
     return hashlib.sha1(weights.astype("<f2").tobytes()).hexdigest()[:12]
 
 
+def sample_from(pool: list, k: int, seed: int) -> list:
+    """Up to k of a pool without repetition, by the same shuffle with its own seed."""
+    return [pool[i] for i in sample_negatives([-1], len(pool), k, seed)[0]]
+
+
 def fit_per_repository(examples: DataFrame, documents: DataFrame, params: Params = Params(), seed: int = 0) -> DataFrame:
-    """repo, revision, examples, weights.  examples: repo, pos (document number), q; documents: repo, doc, v.
+    """repo, revision, examples, weights.  examples: repo, n (0: the newest), pos (document number), q, and
+    documents: repo, doc, v.  The newest COMMITS examples count.
 
     One group a repository; its examples are bounded by COMMITS and its documents by its files."""
+    newest = Window.partitionBy("repo").orderBy("n")
+    examples = examples.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= COMMITS).drop("place")
 
     def one(key, e: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        docs, e = docs.sort_values("doc"), e.sort_values("pos").head(COMMITS)
+        docs, e = docs.sort_values("doc"), e.sort_values("n")
         if len(docs) < 2 or len(e) < LEAST:
             return pd.DataFrame({"repo": [], "revision": [], "examples": [], "weights": []})
         number = {d: i for i, d in enumerate(docs.doc)}
@@ -112,3 +124,35 @@ def fit_per_repository(examples: DataFrame, documents: DataFrame, params: Params
 def needs_fit(state: str, same_model: bool, new_commits: int | None) -> bool:
     """Whether a fit is due: none yet, another model, an unknown cut-off, or enough new commits."""
     return state in ("none", "invalidated") or not same_model or new_commits is None or new_commits >= REFIT_EVERY
+
+
+class AdapterStore:
+    """The adapter of a repository and model under a folder, with the one before it for a way back."""
+
+    SCHEMA = "revision string, base string, dim long, examples long, cutoff string, weights array<float>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.held = spark, Versions(spark, root)
+
+    def save(self, weights: np.ndarray, base: str, examples: int, cutoff: str | None = None) -> str:
+        """Stores weights as float16 gives them; the revision."""
+        rounded = weights.astype("<f2").astype(np.float32)
+        row = (revision(weights), base, len(weights), examples, cutoff, rounded.ravel().tolist())
+        self.held.write(self.spark.createDataFrame([row], self.SCHEMA).coalesce(1), keep=1)
+        return row[0]
+
+    def load(self) -> dict | None:
+        """What ``ask`` takes as adapter, or None where there is none or its size isn't dim * dim."""
+        table = self.held.read()
+        row = None if table is None else table.first()
+        if row is None or len(row.weights) != row.dim**2:
+            return None
+        return row.asDict() | {"weights": np.array(row.weights, dtype=np.float32).reshape(row.dim, row.dim)}
+
+    def rollback(self) -> dict:
+        """The adapter before the last one serves again; an error where there is none."""
+        numbers = self.held.numbers()
+        if len(numbers) < 2:
+            raise ValueError("no earlier adapter to go back to")
+        self.held.drop(numbers[-1])
+        return self.load()

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Versions, written
+
+#: Files encoded between two checkpoints of a build.
+CHECKPOINT = 1024
+
 
 def refresh_plan(index: DataFrame, files: DataFrame) -> DataFrame:
     """path and action of every path on either side: keep (same version), replace, add, remove."""
@@ -26,25 +31,47 @@ def changed(before: DataFrame, after: DataFrame) -> bool:
 
 
 class IndexStore:
-    """Versions of an index under a folder, by model fingerprint; the newest complete one serves."""
+    """Versions of an index under a folder, by model fingerprint; the newest whole one serves.  What a
+    first build has finished so far is kept apart and never serves."""
 
     def __init__(self, spark: SparkSession, root: str, fingerprint: str):
-        self.spark, self.root, self.fingerprint = spark, root.rstrip("/"), fingerprint
+        self.whole = Versions(spark, f"{root.rstrip('/')}/{fingerprint}/whole")
+        self.part = Versions(spark, f"{root.rstrip('/')}/{fingerprint}/part")
 
-    def save(self, index: DataFrame, version: int, complete: bool = True) -> None:
-        out = index.withColumns({"fingerprint": F.lit(self.fingerprint), "version": F.lit(version), "complete": F.lit(complete)})
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint", "version", "complete").parquet(self.root)
+    def save(self, index: DataFrame, complete: bool = True) -> int:
+        number = (self.whole if complete else self.part).write(index)
+        if complete:
+            for old in self.part.numbers():
+                self.part.drop(old)
+        return number
 
     def open(self) -> DataFrame | None:
-        try:
-            held = self.spark.read.parquet(self.root)
-        except Exception as e:  # nothing saved yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        held = held.where((F.col("fingerprint") == self.fingerprint) & F.col("complete"))
-        newest = held.agg(F.max("version")).first()[0]
-        return None if newest is None else held.where(F.col("version") == newest).drop("fingerprint", "version", "complete")
+        return self.whole.read()
+
+    def refresh(self, files: DataFrame, encode, chunk: int = CHECKPOINT) -> DataFrame:
+        """The index for these files (path, cid, ...), saved: rows whose path and cid it holds stay, others go
+        through ``encode`` (files to rows) about ``chunk`` at a time.  A build that was broken off goes on
+        from the chunks that it had finished."""
+        spark = files.sparkSession
+        held = self.open()
+        rows = [] if held is None else [held.join(files.select("path", "cid"), ["path", "cid"], "left_semi")]
+        done = [self.part.read(n) for n in self.part.numbers()]
+        rows += [d.join(files.select("path", "cid"), ["path", "cid"], "left_semi") for d in done]
+        todo = files
+        for r in rows:
+            todo = todo.join(r.select("path", "cid"), ["path", "cid"], "left_anti")
+        todo = written(todo, "index-todo")
+        parts = -(-todo.count() // chunk)
+        for i in range(parts):
+            number = self.part.write(encode(todo.where(F.pmod(F.xxhash64("path", "cid"), F.lit(parts)) == i)))
+            rows.append(self.part.read(number))
+        if not rows:
+            rows = [encode(todo)]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        self.save(written(out, "index"))
+        return self.open()
 
 
 def top_extensions(paths: DataFrame, most: int = 8) -> DataFrame:

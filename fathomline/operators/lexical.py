@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import idf
 from ..functions.text import tokens
+from ..sources.store import written
 
 #: Fixed values of the lexical ranker.
 K1, B = 1.2, 0.75
@@ -20,33 +21,57 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return terms.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Buckets of the filter that terms pass before they leave their document.
+FILTER = 1 << 16
+
+
+def kept_tokens(bag: Column, asked: DataFrame) -> Column:
+    """The tokens of a bag that may be asked for: a bit a hash bucket of the asked terms, FILTER in all."""
+    slot = F.xxhash64("term").bitwiseAND(F.lit(FILTER - 1)).cast("int")
+    held = {r[0] for r in asked.select(slot).distinct().collect()}  # at most FILTER rows
+    bits = F.split(F.lit("".join("1" if i in held else "0" for i in range(FILTER))), "")
+    return F.filter(bag, lambda x: F.get(bits, F.xxhash64(x).bitwiseAND(F.lit(FILTER - 1)).cast("int")) == "1")
+
+
+def counted_terms(bags: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """by, len, term, tf of the asked terms; bags: by, len, kept.  Few rows leave a document, and its counts
+    are whole before any shuffle."""
+    return bags.select(*by, "len", F.explode("kept").alias("term")).groupBy(*by, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def saturated(avg_len: Column) -> Column:
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> DataFrame:
     """query_key, doc_key, score of the documents that share a term with a query (the others score 0).
 
     Every document is a candidate of every query here, so the counts are those of all documents.  A term
-    that a query repeats counts as often."""
-    posted = postings(docs, doc_key)
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("len"))
-    facts = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).first()
+    that a query repeats counts as often.  Documents are tokenised once; only terms that some query asks
+    for are counted and joined."""
+    asked = written(queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25-asked")
+    bags = docs.select(doc_key, tokens(F.col("text")).alias("bag")).select(doc_key, F.size("bag").alias("len"), kept_tokens(F.col("bag"), asked).alias("kept"))
+    bags = written(bags, "bm25-bags")
+    facts = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).first()
+    posted = counted_terms(bags.where(F.size("kept") > 0), asked, [doc_key])
     frequency = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = asked.join(frequency, "term").withColumn("idf", idf(F.lit(float(facts.n)), F.col("df")))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(facts.avg_len or 1.0)))
-    scored = asked.join(posted, "term").withColumn("s", F.col("qtf") * F.col("idf") * saturated)
+    scored = posted.join(asked, "term").withColumn("s", F.col("qtf") * F.col("idf") * saturated(F.lit(facts.avg_len or 1.0)))
     return scored.groupBy(query_key, doc_key).agg(F.sum("s").alias("score"))
 
 
 def bm25_per_task(candidates: DataFrame) -> DataFrame:
     """candidates (task, path, query, text) with score: counts and lengths over each task's candidates only."""
-    bag = candidates.select("task", "path", "query", tokens(F.col("text")).alias("bag"))
-    per = bag.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("bag")).alias("avg_len"))
-    terms = bag.select("task", "path", F.size("bag").alias("len"), F.explode("bag").alias("term")).groupBy("task", "path", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = candidates.groupBy("task").agg(F.first("query").alias("query")).select("task", F.explode(tokens(F.col("query"))).alias("term"))
+    asked = written(asked.groupBy("task", "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25-asked")
+    bags = candidates.select("task", "path", tokens(F.col("text")).alias("bag"))
+    bags = written(bags.select("task", "path", F.size("bag").alias("len"), kept_tokens(F.col("bag"), asked).alias("kept")), "bm25-bags")
+    per = bags.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    terms = counted_terms(bags, asked, ["task", "path"]).join(asked, ["task", "term"])
     frequency = terms.groupBy("task", "term").agg(F.count(F.lit(1)).alias("df"))
-    asked = bag.select("task", "query").distinct().select("task", F.explode(tokens(F.col("query"))).alias("term")).groupBy("task", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hit = terms.join(asked, ["task", "term"]).join(frequency, ["task", "term"]).join(per, "task")
-    s = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hit.groupBy("task", "path").agg(F.sum(s).alias("score"))
-    return bag.select("task", "path").join(scored, ["task", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    hit = terms.join(frequency, ["task", "term"]).join(per, "task")
+    scored = hit.groupBy("task", "path").agg(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * saturated(F.col("avg_len"))).alias("score"))
+    return bags.select("task", "path").join(scored, ["task", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def gold_rank(ranked: DataFrame, by: str, gold: Column, order: list) -> DataFrame:

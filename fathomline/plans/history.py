@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,7 +104,11 @@ def eras(spark, sf_dir):
     return H.eras(tasks(spark, sf_dir).select("sha", "repo", "n").join(c, "sha"), least=40)
 
 
-@query("ancestors")
+@query(
+    "ancestors",
+    """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS repo, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n FROM conversations)
+       SELECT a.repo, concat(a.repo, '.', a.n) AS sha, concat(b.repo, '.', b.n) AS ancestor FROM c a JOIN c b ON a.repo = b.repo AND b.n < a.n""",
+)
 def ancestors(spark, sf_dir):
     """Replies of a conversation as commits, each after the one before it."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -161,14 +166,15 @@ def index_counts(spark, sf_dir):
 
 
 @query(
-    "apply_adapter_small",
-    """WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, [v[1] + 0.5 * v[2], v[2], 0.25 * v[1] + v[3], v[4]] AS z FROM e)
+    "apply_adapter",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, list_transform(range(1, len(v) + 1), lambda j: v[j] + 0.5 * coalesce(v[j + 1], 0)) AS z FROM e)
        SELECT vec_id, list_transform(z, lambda x: round(x / greatest(sqrt(list_dot_product(z, z)), 1e-8), 6)) AS u FROM m""",
 )
-def apply_adapter_small(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
-    w = F.array(*[F.lit(x) for x in (1.0, 0.0, 0.25, 0.0, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)])
-    return e.select("vec_id", F.transform(mapped(F.col("v"), w, 4), lambda x: F.round(x, 6)).alias("u"))
+def apply_adapter(spark, sf_dir):
+    """Each vector through a map that adds half of the next component."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    w = np.eye(64) + 0.5 * np.eye(64, k=-1)
+    return e.select("vec_id", F.transform(mapped(w)(F.col("v")), lambda x: F.round(x, 6)).alias("u"))
 
 
 @query("sample_negatives")
@@ -189,8 +195,8 @@ def sample_negatives(spark, sf_dir):
 @query("fit_adapter")
 def fit_adapter(spark, sf_dir):
     """A map for each label: its vectors as files, each mixed with the label's first as queries."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("repo"), F.col("vec_id").alias("doc"), F.slice("embedding", 1, 16).alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").cast("string").alias("repo"), F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
     first = e.groupBy("repo").agg(F.min_by("v", "doc").alias("f"))
-    q = e.join(F.broadcast(first), "repo").select("repo", F.col("doc").alias("pos"), F.zip_with("v", "f", lambda a, b: a + b * 0.5).alias("q"))
+    q = e.join(first, "repo").select("repo", (-F.col("doc")).alias("n"), F.col("doc").alias("pos"), F.zip_with("v", "f", lambda a, b: a + b * 0.5).alias("q"))
     fitted = adapter.fit_per_repository(q, e.toDF(*e.columns), adapter.Params(negatives=16))
     return fitted.select("repo", "revision", "examples", F.size("weights").alias("size"))

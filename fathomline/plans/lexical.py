@@ -53,7 +53,7 @@ def bm25_top3(spark, sf_dir):
 
 def gold(spark, sf_dir):
     b = benchmark(spark, sf_dir)
-    holds = ranked(spark, sf_dir).join(F.broadcast(b.select("item_id", F.col("text").alias("passage"))), "item_id").join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    holds = ranked(spark, sf_dir).join(b.select("item_id", F.col("text").alias("passage")), "item_id").join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
     found = holds.where(F.contains("text", "passage")).groupBy("item_id").agg((F.min("rank") - 1).cast("long").alias("gold_rank"))
     return b.select("item_id").join(found, "item_id", "left")
 
@@ -84,7 +84,7 @@ def hit_mrr(spark, sf_dir):
 def bm25_per_source(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.col("source").alias("task"), F.concat(F.lit("d"), "doc_id").alias("path"), "doc_id", "text")
     q = d.groupBy("task").agg(F.min_by("text", "doc_id").alias("query"))
-    scored = L.bm25_per_task(d.join(F.broadcast(q), "task"))  # a query a source
+    scored = L.bm25_per_task(d.join(q, "task"))
     return scored.select("task", "path", F.round("score", 4).alias("score"))
 
 

@@ -3,22 +3,33 @@
     spark.dataSource.register(GitSource)
     spark.read.format("git").option("repositories", "a,b").option("table", "files").load()
 
-Tables: files (working tree), commits (no merges), trees (source blobs of a revision).
+Tables: files (working tree), commits (no merges, newest first), graph (all commits with their parents,
+parents first), trees (blobs of the revisions).  ``trees_of`` and ``texts_of`` give the trees and blob
+texts that a frame asks for.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
+import threading
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.paths import kind
+
 SCHEMAS = {
     "files": "repo string, path string, cid string",
     "commits": "repo string, n long, sha string, date string, subject string, body string, parent string, paths array<string>",
+    "graph": "repo string, n long, sha string, parents array<string>",
     "trees": "repo string, rev string, path string, blob string",
 }
+#: Bytes read of a blob.
+MOST_BYTES = 400_000
 RECORD, FIELD = "\x1e", "\x1f"
 LINK_MODE = "120000"
 
@@ -70,21 +81,62 @@ def tree(root: str, rev: str) -> Iterator[tuple[str, str]]:
             yield path, blob
 
 
-def blobs(root: str, names: list[str], most: int = 400_000) -> dict[str, str]:
-    """The texts of blobs by one batch process, cut at ``most`` bytes; missing ones are left out."""
-    asked = "".join(f"{b}\n" for b in names).encode()
-    out = subprocess.run(["git", "-C", root, "cat-file", "--batch"], input=asked, capture_output=True, check=True).stdout
-    found, at = {}, 0
-    for name in names:
-        end = out.index(b"\n", at)
-        head = out[at:end].split(b" ")
-        at = end + 1
-        if head[-1] == b"missing":
-            continue
-        size = int(head[2])
-        found[name] = out[at : at + min(size, most)].decode("utf-8", "replace")
-        at += size + 1
-    return found
+def graph(root: str, rev: str = "HEAD") -> Iterator[tuple[int, str, list[str]]]:
+    """(n, sha, parents) of the revision and all its ancestors, parents before children."""
+    for n, line in enumerate(git(root, "rev-list", "--topo-order", "--reverse", "--parents", rev).splitlines()):
+        sha, *parents = line.split(" ")
+        yield n, sha, parents
+
+
+def blobs(root: str, names: list[str], most: int = MOST_BYTES) -> Iterator[tuple[str, str]]:
+    """(blob, text) by one batch process, cut at ``most`` bytes; missing ones are left out.  The answers are
+    read one by one, so that no more than a blob is held."""
+    with subprocess.Popen(["git", "-C", root, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
+
+        def ask() -> None:
+            with run.stdin as f:
+                f.writelines(f"{name}\n".encode() for name in names)
+
+        asking = threading.Thread(target=ask, daemon=True)
+        asking.start()
+        for name in names:
+            head = run.stdout.readline().split()
+            if head[-1:] == [b"missing"]:
+                continue
+            size = int(head[2])
+            kept, left = run.stdout.read(min(size, most)), max(0, size - most) + 1
+            while left:
+                left -= len(run.stdout.read(min(left, 1 << 20)))
+            yield name, kept.decode("utf-8", "replace")
+        asking.join()
+
+
+def trees_of(revisions: DataFrame) -> DataFrame:
+    """repo, rev, path, blob of the source files of each different (repo, rev), a task's revisions at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for repo, rev in zip(f.repo, f.rev):
+                yield pd.DataFrame([(repo, rev, *r) for r in sorted(tree(repo, rev))], columns=["repo", "rev", "path", "blob"])
+
+    return revisions.select("repo", "rev").distinct().mapInPandas(run, SCHEMAS["trees"]).where(kind(F.col("path")) == "source")
+
+
+def texts_of(wanted: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """repo, blob, text of each different (repo, blob) that can be read: a batch process a repository and batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for repo, names in f.groupby("repo").blob:
+                held: list[tuple] = []
+                for name, text in blobs(repo, list(names), most):
+                    held.append((repo, name, text))
+                    if len(held) == 200:
+                        yield pd.DataFrame(held, columns=["repo", "blob", "text"])
+                        held = []
+                yield pd.DataFrame(held, columns=["repo", "blob", "text"])
+
+    return wanted.select("repo", "blob").distinct().mapInPandas(run, "repo string, blob string, text string")
 
 
 class Repository(InputPartition):
@@ -106,14 +158,16 @@ class GitReader(DataSourceReader):
             rows = files(root)
         elif table == "commits":
             rows = commits(root, int(self.options.get("limit", "600")), rev)
+        elif table == "graph":
+            rows = graph(root, rev)
         else:
-            rows = ((rev, *r) for r in tree(root, rev))
+            rows = ((r, *entry) for r in rev.split(",") for entry in tree(root, r))
         for r in rows:
             yield (root, *r)
 
 
 class GitSource(DataSource):
-    """Options: repositories (paths, comma-separated), table, rev, limit."""
+    """Options: repositories (paths, comma-separated), table, rev (for trees several, comma-separated), limit."""
 
     @classmethod
     def name(cls) -> str:

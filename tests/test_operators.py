@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.operators import adapter, history, indexing, ranking, transcripts, usage
 from fathomline.plans import lifecycles
-from fathomline.sources import files, git
+from fathomline.sources import files, git, store
 from fathomline.streaming import run, sessions
 
 HINT = st.builds(lambda n: {"path": "p" * n}, st.integers(1, 400))
@@ -139,8 +139,8 @@ def test_index_store(spark, tmp_path):
     store = indexing.IndexStore(spark, str(tmp_path / "index"), "hash-64")
     assert store.open() is None
     first = spark.createDataFrame([("a", "1", [1.0])], "path string, cid string, v array<double>")
-    store.save(first, 1)
-    store.save(first.limit(0).union(first), 2, complete=False)
+    store.save(first)
+    store.save(first.limit(0).union(first), complete=False)
     assert store.open().collect() == first.collect()
     now = spark.createDataFrame([("a", "2"), ("b", "1")], "path string, cid string")
     plan = {r.path: r.action for r in indexing.refresh_plan(first, now).collect()}
@@ -151,6 +151,63 @@ def test_index_store(spark, tmp_path):
     assert other.open() is None
 
 
+def test_index_build_goes_on_where_it_was(spark, tmp_path):
+    asked = []
+
+    def encode(f):
+        asked.append(f.count())
+        if len(asked) == 3:
+            raise RuntimeError("broken off")
+        return f.withColumn("v", F.array(F.lit(1.0)))
+
+    files = spark.range(40).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("1").alias("cid"))
+    store = indexing.IndexStore(spark, str(tmp_path / "index"), "m")
+    with pytest.raises(RuntimeError):
+        store.refresh(files, encode, chunk=10)
+    assert store.open() is None
+    finished = sum(asked[:2])
+    del asked[:]
+    asked += [0] * 9
+    got = store.refresh(files, encode, chunk=10)
+    assert got.count() == 40 and sum(asked) == 40 - finished and not store.part.numbers()
+    later = files.where("path <> 'f0'").withColumn("cid", F.when(F.col("path") == "f1", "2").otherwise(F.col("cid")))
+    del asked[9:]
+    asked += [0]
+    assert sorted((r.path, r.cid) for r in store.refresh(later, encode).collect()) == sorted((r.path, r.cid) for r in later.collect()) and asked[-1] == 1
+    assert store.refresh(files.limit(0), encode).count() == 0
+
+
+def test_adapter_store(spark, tmp_path):
+    store = adapter.AdapterStore(spark, str(tmp_path / "a"))
+    assert store.load() is None
+    with pytest.raises(ValueError):
+        store.rollback()
+    one, two = np.eye(3, dtype=np.float32) * np.float32(1.0001), np.eye(3, dtype=np.float32) * 2
+    r1, r2 = store.save(one, "m", 20, "c1"), store.save(two, "m", 30)
+    held = store.load()
+    assert held["revision"] == r2 != r1 and held["base"] == "m" and held["dim"] == 3 and (held["weights"] == two).all()
+    back = store.rollback()
+    assert back["revision"] == r1 and np.abs(back["weights"] - one).max() < 1e-3 and back["cutoff"] == "c1"
+    with pytest.raises(ValueError):
+        store.rollback()
+
+
+def test_daily_log(spark, tmp_path):
+    log = store.DailyLog(spark, str(tmp_path / "log"), files.HOOKS)
+    assert log.read().count() == 0 and log.prune(10**9) == []
+    day = 86_400
+    row = lambda ts, s: (ts, "a", "prompt", "/r", s, 5, "injected", ["x"])
+    log.append(spark.createDataFrame([row(100 * day + 5, "old"), row(131 * day, "new")], files.HOOKS))
+    log.append(spark.createDataFrame([row(101 * day + 50, "edge")], files.HOOKS))
+    now = 131 * day + 60
+    assert {r.session for r in log.read(now=now).collect()} == {"new"} and {r.session for r in log.read(since=101 * day).collect()} == {"edge", "new"}
+    assert log.prune(now) == [100] and {r.session for r in log.read().collect()} == {"edge", "new"}
+    held = store.Versions(spark, str(tmp_path / "latest"))
+    for n in (1, 2, 3):
+        held.write(spark.range(n), keep=1)
+    assert held.numbers() == [2, 3] and held.read().count() == 3 and held.read(2).count() == 2 and held.read(9) is None
+
+
 @pytest.fixture
 def repository(tmp_path):
     root = tmp_path / "repo"
@@ -174,7 +231,7 @@ def test_git_source(spark, repository):
     log = read("commits").orderBy("n").collect()
     assert [(r.subject, r.body, sorted(r.paths), r.parent is None) for r in log] == [("Second", "", ["a.py", "b.py"], False), ("First", "body line", [".gitignore", "a.py"], True)]
     tree = {r.path: r.blob for r in read("trees").collect()}
-    assert git.blobs(str(repository), [tree["a.py"], "0" * 40]) == {tree["a.py"]: "def b(): pass\n"}
+    assert dict(git.blobs(str(repository), [tree["a.py"], "0" * 40])) == {tree["a.py"]: "def b(): pass\n"}
     assert git.discover(str(repository.parent)) == [str(repository)]
 
 
