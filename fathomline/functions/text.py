@@ -196,9 +196,9 @@ def model_name(fingerprint: Column) -> Column:
 
 
 #: The terms of the identifier-grep baseline.
-GREP_TERMS = [r"[A-Za-z_][\w]*\.[A-Za-z_][\w.]*", r"\b[a-z]+_[a-z_0-9]+\b", r"\b[a-z]+[A-Z]\w+\b", r"\b[A-Z][a-z]+[A-Z]\w+\b"]
+GREP_TERMS = [r"[A-Za-z_][\w]*\.[A-Za-z_][\w.]*", r"\b[a-z]+_[a-z_0-9]+\b", r"\b[a-z]+[A-Z]\w+\b", r"\b[A-Z][a-z]+[A-Z]\w+\b", r"\b[A-Za-z]{7,}\b"]
 
 
 def grep_terms(text: Column, most: int = 12) -> Column:
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in GREP_TERMS], F.regexp_extract_all(text, F.lit(r"\b[A-Za-z]{7,}\b"), F.lit(0)))
+    found = F.concat(*[F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0)) for p in GREP_TERMS])  # letters of any script make words
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 4)), 1, most)

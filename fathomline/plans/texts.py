@@ -136,13 +136,29 @@ def query_kind(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", text.query_kind(feigned(), context).alias("kind"))
 
 
-@query("query_literals")
+LITERALS = r"""WITH t AS (SELECT conv_id, turn, concat(text, E' see parse_config in lib/io.py:12 and "an exact phrase" with HttpClient\nTypeError: unexpected end of the input') AS t FROM conversations),
+    w AS (SELECT conv_id, turn, t, list_transform(regexp_extract_all(t, '["''`][^"''`\n]{8,120}["''`]|\b(?:[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*(?:_[a-z0-9]+)+|[A-Za-z0-9_./-]+\.[A-Za-z0-9]+:\d+)\b'),
+            lambda x: trim(CASE WHEN regexp_matches(x, '^["''`]') THEN x[2:-2] ELSE split_part(x, ':', 1) END)) AS found,
+        list_transform(list_filter(list_transform(string_split(t, E'\n'), lambda x: trim(x)), lambda x: contains(x, ':') AND regexp_matches(split_part(x, ':', 1), 'panicked|Error|Exception|^(?i:panic)$')),
+            lambda x: trim(regexp_split_to_array(trim(x[strpos(x, ':') + 1:]), '[.\n''"`]')[1])) AS phrases FROM t),
+    a AS (SELECT conv_id, turn, list_concat(list_filter(found, lambda x: strlen(x) >= 4 AND x NOT IN ('TODO', 'HTTP', 'JSON')), list_filter(phrases, lambda x: strlen(x) BETWEEN 12 AND 120)) AS l FROM w)
+    SELECT conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], '|') AS literals FROM a"""
+
+
+@query("query_literals", LITERALS)
 def query_literals(spark, sf_dir):
     t = F.concat("text", F.lit(" see parse_config in lib/io.py:12 and \"an exact phrase\" with HttpClient\nTypeError: unexpected end of the input"))
     return turns(spark, sf_dir).select("conv_id", "turn", F.array_join(text.query_literals(t), "|").alias("literals"))
 
 
-@query("grep_terms")
+#: Words are runs of letters, digits and underscores of any script; a pattern takes whole ones.
+GREPPED = r"""WITH w AS (SELECT item_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark),
+    a AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z_][\p{L}\p{N}_]*\.[A-Za-z_][\p{L}\p{N}_.]*') || list_filter(w, lambda x: regexp_full_match(x, '[a-z]+_[a-z_0-9]+')) || list_filter(w, lambda x: regexp_full_match(x, '[a-z]+[A-Z][\p{L}\p{N}_]+'))
+        || list_filter(w, lambda x: regexp_full_match(x, '[A-Z][a-z]+[A-Z][\p{L}\p{N}_]+')) || list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]{7,}')), lambda x: length(x) >= 4) AS l FROM w)
+    SELECT item_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], ' ') AS terms FROM a"""
+
+
+@query("grep_terms", GREPPED)
 def grep_terms(spark, sf_dir):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return b.select("item_id", F.array_join(text.grep_terms(F.col("text")), " ").alias("terms"))
@@ -187,36 +203,43 @@ def model_names(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    """Documents as Python files: a line in two opens a definition."""
+    """Documents as Python files: a line in two opens a definition, and a file in two has a comment at its head."""
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.lit("def f"), i, F.lit("():\n    # "), x)).otherwise(F.concat(F.lit("# "), x))), "\n")
-    return documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("/f"), "doc_id", F.lit(".py")).alias("path"), body.alias("text"))
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"""Reads and writes records of kind '), F.col("doc_id") % 3, F.lit('."""\n'))).otherwise("")
+    return documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("/f"), "doc_id", F.lit(".py")).alias("path"), F.concat(head, body).alias("text"))
+
+
+#: The same files by counting: definition i stands behind i lines and half as many definitions.
+SOURCES = """src AS (SELECT doc_id, concat(source, '/f', doc_id, '.py') AS path, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS h, len(string_split(text, E'\n')) AS n,
+        CASE WHEN doc_id % 2 = 0 THEN concat('Reads and writes records of kind ', doc_id % 3, '.') END AS comment FROM documents WHERE text IS NOT NULL)"""
+DEFINED = f"{SOURCES}, def AS (SELECT *, unnest(range(0, n, 2)) AS i FROM src)"
 
 
-@query("symbols")
+@query("symbols", f"WITH {DEFINED} SELECT doc_id, concat('f', i) AS name, CAST(h + i + i // 2 + 1 AS INTEGER) AS line, CAST(CASE WHEN i + 2 < n THEN h + i + i // 2 + 3 ELSE h + n + (n + 1) // 2 END AS INTEGER) AS \"end\" FROM def")
 def symbols(spark, sf_dir):
     s = sources(spark, sf_dir).select("doc_id", F.explode(code.symbols_udf("path", "text")).alias("s"))
     return s.select("doc_id", "s.name", "s.line", "s.end")
 
 
-@query("first_comment")
+@query("first_comment", f"WITH {SOURCES} SELECT doc_id, comment FROM src")
 def first_comment(spark, sf_dir):
     return sources(spark, sf_dir).select("doc_id", code.first_comment_udf("text").alias("comment"))
 
 
-@query("skeleton")
+@query("skeleton", f"WITH {SOURCES} SELECT doc_id, concat('file: ', left(concat(path, E'\\n', CASE WHEN comment IS NULL THEN '' ELSE concat(comment, E'\\n') END, array_to_string(list_transform(range(0, n, 2), lambda i: concat('f', i)), ' ')), 1500)) AS doc FROM src")
 def skeleton(spark, sf_dir):
     return sources(spark, sf_dir).select("doc_id", code.file_doc_udf("path", "text").alias("doc"))
 
 
-@query("function_docs")
+@query("function_docs", f"WITH {DEFINED} SELECT doc_id, concat('f', i) AS name, CAST(h + i + i // 2 + 1 AS INTEGER) AS line, concat('function: ', path, '::f', i, CASE WHEN comment IS NULL THEN '' ELSE concat(E'\\n', comment) END) AS text FROM def")
 def function_docs(spark, sf_dir):
     s = sources(spark, sf_dir).select("doc_id", F.explode(code.function_docs_udf("path", "text")).alias("s"))
     return s.select("doc_id", "s.name", "s.line", "s.text")
 
 
-@query("word_pieces")
+@query("word_pieces", "SELECT doc_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(text, '([\\p{Ll}\\p{N}])(\\p{Lu})', '\\1 \\2', 'g'), '[\\p{L}\\p{N}]+'), lambda x: lower(x)), ' ') AS pieces FROM documents")
 def word_pieces(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.size(code.word_pieces_udf("text")).alias("pieces"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(code.word_pieces_udf("text"), " ").alias("pieces"))
 
 
 @query("hash_encode")

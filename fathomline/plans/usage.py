@@ -55,7 +55,11 @@ def per_day_counts(spark, sf_dir):
     return U.per_day(e, "s", now_of(e), 30)
 
 
-@query("daily_sparkline")
+@query(
+    "daily_sparkline",
+    f"""WITH {EV}, d AS (SELECT 29 - CAST(floor((t - s) / 86400) AS BIGINT) AS day FROM ev, now), c AS (SELECT r.day, count(d.day) AS n FROM (SELECT unnest(range(30)) AS day) r LEFT JOIN d USING (day) GROUP BY r.day)
+        SELECT string_agg(CASE WHEN n = 0 THEN '·' ELSE substr('▁▂▃▄▅▆▇█', CAST((n * 8 + m - 1) // m AS INTEGER), 1) END, '' ORDER BY day) AS line FROM c, (SELECT greatest(max(n), 1) AS m FROM c)""",
+)
 def daily_sparkline(spark, sf_dir):
     e = events(spark, sf_dir)
     days = U.per_day(e, "s", now_of(e), 30)
@@ -117,18 +121,19 @@ def items(spark, sf_dir):
     return turns(spark, sf_dir).select(F.col("conv_id").alias("session"), F.col("turn").alias("n"), kind.alias("event"))
 
 
-@query("tracker")
+FOLLOWED = """WITH i AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'u' WHEN turn % 3 = 0 THEN 'c' ELSE 't' END AS k FROM conversations),
+            g AS (SELECT *, sum(CASE WHEN k = 't' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM i),
+            f AS (SELECT conv_id, part, max(CASE WHEN k = 'c' THEN turn END) AS opened, least(10, count(*) FILTER (k = 't')) AS calls FROM g GROUP BY ALL)
+       SELECT conv_id AS session, opened, calls FROM f WHERE opened IS NOT NULL"""
+
+
+@query("tracker", FOLLOWED)
 def tracker(spark, sf_dir):
+    """By the state machine; the SQL counts boundaries, which is the same where calls come one after another."""
     return T.tracked(items(spark, sf_dir))
 
 
-@query(
-    "follow_window_counts",
-    """WITH i AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'u' WHEN turn % 3 = 0 THEN 'c' ELSE 't' END AS k FROM conversations),
-            g AS (SELECT *, sum(CASE WHEN k = 't' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS part FROM i),
-            f AS (SELECT conv_id, part, max(CASE WHEN k = 'c' THEN turn END) AS opened, least(10, count(*) FILTER (k = 't')) AS calls FROM g GROUP BY ALL)
-       SELECT conv_id AS session, opened, calls FROM f WHERE opened IS NOT NULL""",
-)
+@query("follow_window_counts", FOLLOWED)
 def follow_window_counts(spark, sf_dir):
     """The same windows by counting boundaries, where turns are in order and none repeats."""
     w = Window.partitionBy("session").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
@@ -184,13 +189,17 @@ def similarity_partition(spark, sf_dir):
     return n.groupBy(kind.alias("similarity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("command_touches")
+@query(
+    "command_touches",
+    """SELECT conv_id, turn, t.path, t.action FROM conversations, LATERAL (VALUES ('src/s/a/b/', 'edited'), (concat('src/f', turn, '.py'), 'edited'), ('src/out.txt', 'edited'),
+        (concat('src/tests/t', turn, '.py'), 'ran'), ('src/notes.md', 'read')) AS t(path, action)""",
+)
 def command_touches(spark, sf_dir):
     t = turns(spark, sf_dir).select("conv_id", "turn", F.concat(F.lit("cd src && sed -i s/a/b/ f"), "turn", F.lit(".py > out.txt; pytest tests/t"), "turn", F.lit(".py | cat notes.md")).alias("c"))
     return t.select("conv_id", "turn", F.explode(commands.command_touches(F.col("c"))).alias("x")).select("conv_id", "turn", "x.path", "x.action")
 
 
-@query("search_patterns")
+@query("search_patterns", "SELECT conv_id, turn, concat('def f', turn, '\\w+') AS pattern, concat('def f', turn) AS intent FROM conversations")
 def search_patterns(spark, sf_dir):
     from ..functions.text import search_intent
 
@@ -231,7 +240,11 @@ def repo_summary(spark, sf_dir):
     return n.select(F.col("n_name").alias("name"), F.round("top", 6).alias("top"), F.coalesce("hints", F.lit(0)).alias("hints"), F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("budget_ask")
+@query(
+    "budget_ask",
+    f"""WITH {SUPPLIED}, p AS (SELECT repo, rank, concat('src/module_', path, '.py') AS path FROM r)
+        SELECT repo, 'file' AS part, path FROM p WHERE rank <= 2 UNION ALL SELECT repo, 'function', path FROM p WHERE rank = 1""",
+)
 def budget_ask(spark, sf_dir):
     """Hints of each repository through the budget: files, a function and a configuration."""
     import pandas as pd
@@ -265,3 +278,63 @@ def transition_step(spark, sf_dir):
 def transition_replay(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("repo"), F.col("event_id").alias("n"), F.expr(LOG).alias("event"))
     return lifecycles.replayed(e, "uninitialized", "index", "repo", "n", "event")
+
+
+HOOKED = """hk AS (SELECT event_id, concat('/r', user_id % 20) AS root, concat('a', user_id % 3) AS agent, CAST(user_id AS VARCHAR) AS session, CAST(value AS BIGINT) AS ms,
+    CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'timeout' WHEN 1 THEN 'quiet' ELSE 'injected' END AS outcome, CAST(CASE WHEN event_id % 4 < 2 THEN 0 ELSE event_id % 4 END AS BIGINT) AS files FROM events)"""
+
+
+def hook_runs(spark, sf_dir):
+    """Events as hook runs: one in two injects two or three files."""
+    e, m = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 4
+    outcome = F.when(m == 0, "timeout").when(m == 1, "quiet").otherwise("injected")
+    paths = F.when(m >= 2, F.transform(F.sequence(F.lit(1), m.cast("int")), lambda i: F.concat(F.lit("f"), i))).otherwise(F.array().cast("array<string>"))
+    return e.select(
+        F.concat(F.lit("/r"), F.col("user_id") % 20).alias("root"), F.concat(F.lit("a"), F.col("user_id") % 3).alias("agent"), F.col("user_id").cast("string").alias("session"),
+        F.col("value").cast("long").alias("ms"), outcome.alias("outcome"), paths.alias("injected"),
+    )
+
+
+@query(
+    "hooks_by_repository",
+    f"""WITH {HOOKED.replace('CAST(value AS BIGINT)', 'CAST(trunc(value) AS BIGINT)')}, s AS (SELECT root, count(*) AS runs, count(*) FILTER (outcome = 'injected') AS injections, CAST(sum(files) AS BIGINT) AS files, count(DISTINCT (agent, session)) AS sessions, count(*) FILTER (outcome = 'timeout') AS timeouts FROM hk GROUP BY root),
+        k AS (SELECT root, ms, row_number() OVER (PARTITION BY root ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY root) AS n FROM hk), p AS (SELECT root, max(ms) AS p50 FROM k WHERE i = CAST(round((n - 1) * 0.5) AS BIGINT) GROUP BY root)
+        SELECT concat('/r', n_nationkey) AS root, n_name AS name, coalesce(runs, 0) AS runs, coalesce(injections, 0) AS injections, coalesce(files, 0) AS files, coalesce(sessions, 0) AS sessions, coalesce(timeouts, 0) AS timeouts, p50
+        FROM nation LEFT JOIN s ON s.root = concat('/r', n_nationkey) LEFT JOIN p ON p.root = s.root""",
+)
+def hooks_by_repository(spark, sf_dir):
+    """Nations as repositories: those from 20 on have no run."""
+    repos = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("/r"), "n_nationkey").alias("root"), F.col("n_name").alias("name"))
+    return U.hooks_by_repository(repos, hook_runs(spark, sf_dir))
+
+
+@query(
+    "agent_counts_merged",
+    f"""WITH {HOOKED} SELECT 'similarity' AS measure, outcome AS key, count(*) AS n FROM hk GROUP BY outcome UNION ALL SELECT 'answered', NULL, CAST(sum(files) AS BIGINT) FROM hk
+        UNION ALL SELECT 'session', NULL, count(DISTINCT concat(agent, ' ', session)) FROM hk""",
+)
+def agent_counts_merged(spark, sf_dir):
+    """Counts by repository, then added up: sessions that work in several repositories count once."""
+    runs = hook_runs(spark, sf_dir)
+    null, one = F.lit(None).cast("string"), F.count(F.lit(1))
+    parts = runs.groupBy("root", F.lit("similarity").alias("measure"), F.col("outcome").alias("key")).agg(one.alias("n"))
+    parts = parts.unionByName(runs.groupBy("root").agg(F.sum(F.size("injected")).cast("long").alias("n")).withColumns({"measure": F.lit("answered"), "key": null}))
+    seen = runs.select("root", F.concat_ws(" ", "agent", "session").alias("key")).distinct().withColumns({"measure": F.lit("session"), "n": F.lit(1).cast("long")})
+    return U.merged_counts(parts.unionByName(seen)).select("measure", "key", "n")
+
+
+@query(
+    "issue_titles",
+    """WITH i AS (SELECT doc_id, text, concat('src/', split_part(text, ' ', CAST(1 + doc_id % 2 AS INTEGER)), CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.py' END) AS gold, doc_id % 5 < 3 AS ours, doc_id % 7 < 3 AS theirs, n_chars AS ms FROM documents),
+            m AS (SELECT *, contains(text, regexp_extract(gold, '([^/]*)$', 1)) AS named FROM i),
+            g AS (SELECT 'all' AS "group", * FROM m UNION ALL SELECT CASE WHEN named THEN 'names a gold file' ELSE 'names none' END, * FROM m),
+            r AS (SELECT "group", ms, row_number() OVER (PARTITION BY "group" ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY "group") AS c FROM g), k AS (SELECT "group", max(ms) AS ms FROM r WHERE i = c // 2 GROUP BY "group")
+       SELECT "group", count(*) AS n, count(*) FILTER (ours) AS ours, count(*) FILTER (theirs) AS theirs, max(k.ms) AS ms FROM g JOIN k USING ("group") GROUP BY ALL""",
+)
+def issue_titles(spark, sf_dir):
+    """Documents as issues, a word of each as its gold file."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    word = F.split_part("text", F.lit(" "), (F.col("doc_id") % 2 + 1).cast("int"))
+    gold = F.concat(F.lit("src/"), word, F.when(F.col("doc_id") % 3 == 0, "").otherwise(".py"))
+    rows = d.select(F.lit("").alias("title"), F.col("text").alias("body"), F.array(gold).alias("gold"), (F.col("doc_id") % 5 < 3).alias("ours"), (F.col("doc_id") % 7 < 3).alias("theirs"), F.col("n_chars").alias("ms"))
+    return U.titles_summary(rows, ["ours", "theirs"], ["ms"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_skipped, kind
@@ -44,12 +46,33 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TASKS).option("mode", "FAILFAST").json(path)
 
 
+def transcripts(root: str, depth: int, since: float = 0.0) -> list[str]:
+    """The transcripts (.jsonl) below a folder, at most ``depth`` folders down and changed since a time, the
+    largest first, so that none that takes long starts last."""
+    found, todo = [], [(root, 0)]
+    while todo:
+        at, level = todo.pop()
+        try:
+            entries = list(os.scandir(at))
+        except OSError:
+            continue
+        for e in entries:
+            if e.is_dir():
+                if level < depth:
+                    todo.append((e.path, level + 1))
+            elif e.name.endswith(".jsonl") and e.stat().st_mtime >= since:
+                found.append((-e.stat().st_size, e.path))
+    return [path for _, path in sorted(found)]
+
+
 def transcript_lines(spark: SparkSession, paths: str | list[str], since: str | None = None) -> DataFrame:
-    """session (the file), and line of transcripts; ``since`` leaves older files out before they are read."""
-    reader = spark.read.format("text")
+    """session (the file), place (in the file) and line of transcripts; ``since`` leaves older files out
+    before they are read.  Files of a task are not split, so places are in order."""
+    reader = spark.read.format("text").option("wholetext", True)
     if since:
         reader = reader.option("modifiedAfter", since)
-    return reader.load(paths).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1).alias("session"), F.col("value").alias("line"))
+    whole = reader.load(paths).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1).alias("session"), F.split("value", "\r?\n").alias("lines"))
+    return whole.select("session", F.posexplode("lines").alias("place", "line")).where("line <> ''")
 
 
 CALL = r"(?:^|[;&|\s/])ask(?:\s|$)"
@@ -83,6 +106,59 @@ def transcript_items(lines: DataFrame, marker: str) -> DataFrame:
     ).where("event is not null")
 
 
+#: What patches and script cells look like in a transcript of the second kind.
+PATCHED = r'\*\*\* (?:Update File|Add File|Delete File|Move to): ([^\n\\"]+)'
+SCRIPTED = r'cmd"?\s*:\s*"((?:[^"\\]|\\.)*)"'
+CALLS = ("custom_tool_call", "function_call", "local_shell_call")
+
+
+def patch_paths(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATCHED), F.lit(1)), F.btrim)
+
+
+def unescaped(text: Column) -> Column:
+    """A quoted script's text: \\n and \\t are white space, any other escaped character is itself."""
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\\\\", "\u0001"), r"\\n", "\n"), r"\\t", "\t")
+    return F.replace(F.regexp_replace(marked, r"\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
+
+
+def argv_command(argv: Column) -> Column:
+    """The script after -lc or -c of an argument list, else the list joined."""
+    at = F.array_position(F.transform(argv, lambda x: x.isin("-lc", "-c")), True)
+    return F.when((at > 0) & (at < F.size(argv)), F.try_element_at(argv, (at + 1).cast("int"))).otherwise(F.array_join(argv, " "))
+
+
+def transcript_items_2(lines: DataFrame, marker: str, tool: str, hook: str) -> DataFrame:
+    """session, place, ts, event, reads, edits, shell of transcripts whose lines hold a payload: a call of a
+    tool with an argument list, a script cell or a patch, or a message.
+
+    ``marker`` is a pattern of our shell command, ``tool`` part of our tool's name, ``hook`` what our hook
+    says.  Substring gates come before any parsing."""
+    has = lambda s: F.contains("line", F.lit(s))
+    call = has('"response_item"') & (has('"custom_tool_call"') | has('"function_call"') | has('"local_shell_call"'))
+    gated = lines.where(call | has('"role":"user"') | (has(hook) & has('"message"')))
+    v = gated.withColumn("v", F.try_parse_json("line")).where("v is not null")
+    get = lambda c, p, t="string": F.try_variant_get(c, p, t)
+    v = v.withColumn("args", F.try_parse_json(get("v", "$.payload.arguments"))).withColumn("named", F.lower(F.coalesce(get("v", "$.payload.name"), F.lit(""))))
+    none = F.array().cast("array<string>")
+    source = get("v", "$.payload.input")
+    cells = F.transform(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(SCRIPTED), F.lit(1)), unescaped)
+    shell, edits = [F.when((F.col("named") != "apply_patch") & source.isNotNull(), cells).otherwise(none)], [patch_paths(source)]
+    for c, at in (("args", "$"), ("v", "$.payload.action")):
+        argv, plain, cmd = get(c, f"{at}.command", "array<string>"), get(c, f"{at}.command"), get(c, f"{at}.cmd")
+        shell += [F.when(argv.isNotNull(), F.array(argv_command(argv))).when(plain.isNotNull(), F.array(plain)).otherwise(none), F.when(cmd.isNotNull(), F.array(cmd)).otherwise(none)]
+        edits.append(patch_paths(F.coalesce(get(c, f"{at}.input"), get(c, f"{at}.patch"))))
+    kind, role = get("v", "$.payload.type"), get("v", "$.payload.role")
+    rows = v.select("session", "place", "line", F.unix_timestamp(F.try_to_timestamp(get("v", "$.timestamp"))).alias("ts"), "named", kind.alias("kind"), role.alias("role"), F.concat(*shell).alias("shell"), F.concat(*edits).alias("edits"))
+    ours = F.contains("named", F.lit(tool)) | F.exists("shell", lambda c: c.rlike(marker))
+    event = (
+        F.when(F.col("kind").isin(*CALLS) & ours, "call").when(F.col("kind").isin(*CALLS), "tool")
+        .when((F.col("kind") == "message") & has(hook) & F.col("role").isin("developer", "user"), "hook")
+        .when((F.col("kind") == "message") & (F.col("role") == "user"), "user_turn")
+    )
+    return rows.select("session", "place", "ts", event.alias("event"), none.alias("reads"), "edits", "shell").where("event is not null")
+
+
 def latest_prompt(turns: DataFrame) -> DataFrame:
     """session and its last user text; turns: session, n, role, text."""
     return turns.where("role = 'user'").groupBy("session").agg(F.max_by("text", "n").alias("prompt"))

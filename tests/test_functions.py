@@ -128,6 +128,6 @@ def test_search_pattern(command, pattern):
 def test_numbers(spark):
     r = one(
         spark, numeric.upper_median(F.array(F.lit(4), F.lit(1), F.lit(3), F.lit(2))), numeric.upper_median(F.array().cast("array<int>")),
-        numeric.normalized(F.array(F.lit(3.0), F.lit(4.0))), numeric.mapped(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0), F.lit(1.0), F.lit(0.0)), 2),
+        numeric.normalized(F.array(F.lit(3.0), F.lit(4.0))), numeric.mapped(np.array([[0.0, 2.0], [1.0, 0.0]]))(F.array(F.lit(1.0), F.lit(0.0))),
     )
     assert (r[0], r[1], r[2], r[3]) == (3, 0, [0.6, 0.8], [0.0, 1.0])

@@ -132,7 +132,7 @@ def test_usage(spark):
     answers = spark.createDataFrame([("r", 1, 100, ["x"]), ("r", 2, 100, ["y"])], "repo string, id int, ts long, hinted array<string>")
     edits = spark.createDataFrame([("r", 86_500, "x"), ("r", 86_501, "y"), ("s", 120, "y")], "repo string, ts long, path string")
     assert {r.id: r.useful for r in usage.useful(answers, edits).collect()} == {1: True, 2: False}
-    assert spark.range(1).select(usage.sparkline(F.array(F.lit(0), F.lit(4), F.lit(8)))).first()[0] == "▁▅█"
+    assert spark.range(1).select(usage.sparkline(F.array(F.lit(0), F.lit(4), F.lit(8)))).first()[0] == "·▄█"
 
 
 def test_index_store(spark, tmp_path):
