@@ -137,10 +137,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     documents that are not held out.  Only their hashed n-gram sets (DIM bits each) reach the driver."""
     labelled = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
     labelled = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text), F.lit("sample")).alias("h"))
-    # narrow first: the hash that admits enough texts of a language, then the texts themselves
-    spaced = labelled.select("lang", "h").distinct()
-    top = Window.partitionBy("lang").orderBy("h")
-    picked = spaced.withColumn("n", F.row_number().over(top)).where(F.col("n") <= rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    # narrow first: the hash that admits enough texts of a language, then the texts themselves; the smallest
+    # of each of PARTS parts of a language, then of these, so that no task gathers a language
+    spaced = labelled.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        spaced = spaced.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("n") <= rows).drop("n")
+    picked = spaced.groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not picked:
         return fit(np.zeros((0, DIM), dtype=bool), [])
     limit = F.create_map(*[F.lit(v) for x in picked for v in (x.lang, x.most)])  # one entry a language
