@@ -28,6 +28,8 @@ from .shared import small_batches, table
 DIM, ORDERS = 1 << 14, (1, 2, 3, 4)
 #: Landmarks and training rows per language at most: the bound of the labelled sample.
 LANDMARKS, ROWS = 32, 300
+#: Parts of a language whose smallest hashes are found apart.
+PARTS = 16
 RIDGE = 1e-2
 UNKNOWN = "und"
 
