@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import copy
+import json
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,3 +90,74 @@ def query_builder(instruction: str = text.FOR_FILES) -> Callable[[str, str], str
         return f"{instruction}{q[: text.LIMIT_1 - min(room, len(c))]}\nRecent context:\n{c[-room:]}"
 
     return build
+
+
+#: Fixed value: the longest address that a form is filled in by.
+MOST_ADDRESS = 8000
+
+
+def report_json(report: dict) -> str:
+    return json.dumps(report, ensure_ascii=False, indent=2)
+
+
+def _line(cells: dict) -> str:
+    return ", ".join(f"{k} {v}" for k, v in sorted(cells.items())) or "none"
+
+
+def _hits(h: list[float] | None) -> str:
+    return " / ".join(f"{x:.2f}" for x in h) if h else "none"
+
+
+def report_markdown(report: dict) -> str:
+    """A report of sections (name to cells) and bench rows for people, and the JSON that is sent below it."""
+    out = ["## Usage report", ""]
+    for section, cells in report.items():
+        if isinstance(cells, dict):
+            plain = {k: v for k, v in cells.items() if not isinstance(v, dict)}
+            out.append(f"- {section}: {_line(plain)}")
+            out += [f"  - {name}: {_line(inner)}" for name, inner in cells.items() if isinstance(inner, dict)]
+    for b in report.get("bench", ()):
+        out.append(f"- bench ({b['files']} files, {b['model']}): hit@1/3/10 lexical {_hits(b['lexical'])}, model {_hits(b['model_hits'])}, adapter {_hits(b.get('adapter_hits'))}")
+    if report.get("truncated"):
+        out.append("- some detail was left out to fit the address")
+    return "\n".join([*out, "", "```json", report_json(report), "```", ""])
+
+
+def report_address(report: dict, base: str, most: int = MOST_ADDRESS) -> tuple[str, dict]:
+    """(address, the report it carries): bench rows go from the last on, then the languages, until it fits."""
+
+    def made(r: dict) -> str:
+        return f"{base}{quote(json.dumps(r, ensure_ascii=False, separators=(',', ':')), safe='-_.~')}"
+
+    r = copy.deepcopy(report)
+    while len(made(r)) > most and r.get("bench"):
+        r["bench"].pop()
+        r["truncated"] = True
+    if len(made(r)) > most and r.get("repositories", {}).get("languages"):
+        r["repositories"]["languages"] = {}
+        r["truncated"] = True
+    return made(r), r
+
+
+def bench_text(counts: dict, scores: list[dict], matched: list[dict], slices: dict[str, list[dict]]) -> str:
+    """A replay as text: what was looked at, hit@1/3/10 and MRR by method, and hit@3 by slice."""
+    cell = lambda v: f"{v:6.3f}" if v is not None else "     -"
+    out = [f"{counts['scanned']} commits scanned, {counts['eligible']} eligible, {counts['evaluated']} scored, {counts['adapted']} with an adapter; median {counts['files_median']} files"]
+    for title, rows in (("all", scores), ("with an adapter", matched)):
+        if rows:
+            out += ["", f"{title:<20}     n   hit1   hit3  hit10    mrr"]
+            out += [f"{r['method']:<20}{r['n']:6} " + " ".join(cell(r[k]) for k in ("hit1", "hit3", "hit10", "mrr")) for r in rows]
+    for title, rows in slices.items():
+        if rows:
+            out += ["", f"{title:<34}     n lexic.  model  adapt."]
+            out += [f"{r['label']:<34}{r['n']:6} " + " ".join(cell(r[k]) for k in ("lexical", "model", "adapter")) for r in rows]
+    return "\n".join(out)
+
+
+def usage_table(repositories: list[dict]) -> str:
+    """Repositories as lines of a table: name, queries, share without an answer, latency at the median."""
+    out = [f"{'repository':<30}queries abstain    p50"]
+    for r in repositories:
+        share = f"{100 * r['abstained'] / r['queries']:6.0f}%" if r["queries"] >= 5 else "      -"
+        out.append(f"{r['name'][:29]:<30}{r['queries']:7} {share} {r['p50'] if r['p50'] is not None else '-':>6}")
+    return "\n".join(out)

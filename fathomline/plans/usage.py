@@ -338,3 +338,25 @@ def issue_titles(spark, sf_dir):
     gold = F.concat(F.lit("src/"), word, F.when(F.col("doc_id") % 3 == 0, "").otherwise(".py"))
     rows = d.select(F.lit("").alias("title"), F.col("text").alias("body"), F.array(gold).alias("gold"), (F.col("doc_id") % 5 < 3).alias("ours"), (F.col("doc_id") % 7 < 3).alias("theirs"), F.col("n_chars").alias("ms"))
     return U.titles_summary(rows, ["ours", "theirs"], ["ms"])
+
+
+TOUCHED = f"""f AS (SELECT source, doc_id, {FILE} AS p FROM documents), n AS (SELECT *, lead(p, 1) OVER w AS a, lead(p, 3) OVER w AS b FROM f WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+    d AS (SELECT *, list_filter(CASE WHEN doc_id % 6 = 0 THEN [p, a] WHEN doc_id % 6 = 1 THEN [a, p] ELSE [a, b] END, lambda x: x IS NOT NULL) AS t, regexp_extract(p, '^(.*)/[^/]*$', 1) AS dir FROM n)"""
+
+
+@query(
+    "agent_similarity",
+    f"""WITH {TOUCHED}, s AS (SELECT *, CASE WHEN len(t) = 0 THEN 'none' WHEN list_contains(t, p) THEN 'exact' WHEN len(list_filter(t, lambda x: regexp_extract(x, '^(.*)/[^/]*$', 1) = dir)) > 0 THEN 'near' ELSE 'elsewhere' END AS k FROM d)
+        SELECT source, count(*) AS answered, count(*) FILTER (k = 'exact') AS exact, count(*) FILTER (k = 'near') AS near, count(*) FILTER (k = 'elsewhere') AS elsewhere, count(*) FILTER (k = 'none') AS none,
+            count(*) FILTER (k = 'exact' AND doc_id % 2 = 0) AS by_edited, 0::BIGINT AS by_ran, count(*) FILTER (k = 'exact' AND doc_id % 2 = 1) AS by_read, count(*) FILTER (coalesce(t[1] = p, false)) AS first_pick
+        FROM s GROUP BY source""",
+)
+def agent_similarity(spark, sf_dir):
+    """Files as hints; what was touched after each are later files of its source, at times the file itself."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    n = documents(spark, sf_dir).select("source", "doc_id", "path").withColumns({"a": F.lead("path", 1).over(w), "b": F.lead("path", 3).over(w)})
+    m = F.col("doc_id") % 6
+    paths = F.when(m == 0, F.array("path", "a")).when(m == 1, F.array("a", "path")).otherwise(F.array("a", "b"))
+    action = F.when(F.col("doc_id") % 2 == 0, "edited").otherwise("read")
+    touched = F.transform(F.filter(paths, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("path"), action.alias("action")))
+    return T.agent_counts(n.select("source", F.array("path").alias("hinted"), touched.alias("touched")), ["source"])

@@ -46,6 +46,13 @@ def tasks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TASKS).option("mode", "FAILFAST").json(path)
 
 
+def prepared_tasks(rows: DataFrame) -> DataFrame:
+    """A task list from its published columns: instance_id, repo (owner/name), base_commit,
+    problem_statement and gold_context, JSON of an array of objects that each name a file."""
+    gold = F.array_distinct(F.transform(F.from_json("gold_context", "array<struct<file:string>>"), lambda x: x["file"]))
+    return rows.select("instance_id", F.replace("repo", F.lit("/"), F.lit("__")).alias("repo_dir"), "base_commit", "problem_statement", gold.alias("gold_files"))
+
+
 def transcripts(root: str, depth: int, since: float = 0.0) -> list[str]:
     """The transcripts (.jsonl) below a folder, at most ``depth`` folders down and changed since a time, the
     largest first, so that none that takes long starts last."""
