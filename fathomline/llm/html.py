@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Container, Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ BROADCAST_HASHES, COPIES, SALTS = 1_000_000, 1000, 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style textarea title xmp iframe noembed noframes head noscript template svg math canvas object video audio map nav footer aside form "
-    "button select option optgroup datalist input label fieldset legend dialog menu menuitem".split()
+    "script style textarea title xmp iframe noembed noframes head noscript template svg canvas object video audio map nav footer aside form "
+    "button select option optgroup datalist input dialog menu menuitem".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -60,6 +61,14 @@ BAD_WORD = frozenset(
     "header masthead topbar footer sidebar aside widget cookie cookies consent gdpr notice notices disclaimer alert popup modal overlay newsletter subscribe subscription "
     "signup login comment comments comentarios commentaires kommentare disqus respond reply replies share sharing social related recommended pagination pager form search toolbar skip copyright".split()
 )
+#: Words that may stand beside them in one name ("share-buttons", "related-posts") inside a marked part; with
+#: any other the name speaks of the article ("related-work").  Its own headers and headings are its text.
+BESIDE = frozenset(
+    "area article articles bar block blog bottom box btn button buttons bottom container content entry floating global group holder icon icons inline inner item items js left line link links list main message "
+    "module news outer page pages panel post posts reader readers region right section site slot space stack sticky stories story text thread title tools top unit user users wrap wrapper zone".split()
+)
+OWN = frozenset("header masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Names of which the words above are no sign.
 GOOD_WORD = frozenset("article content main post entry story body text".split())
 
@@ -102,8 +111,11 @@ def boilerplate(name: str, attributes: str, depth_in_main: bool) -> tuple[bool,
         return True, mark
     if name in ("html", "body", "main", "article"):
         return False, mark
+    if depth_in_main:
+        named = (set(WORDS.findall(token)) for token in mark.split())
+        return name not in HEADINGS and any(words & BAD_WORD - OWN and words <= BAD_WORD | BESIDE for words in named), mark
     words = set(WORDS.findall(mark))
-    if name == "header" and not depth_in_main:
+    if name == "header":
         return True, mark
     return bool(words & BAD_WORD) and not (words & GOOD_WORD and not words & {"ad", "ads", "comment", "comments", "nav", "menu", "sidebar", "footer", "related", "share"}), mark
 
@@ -111,11 +123,14 @@ def boilerplate(name: str, attributes: str, depth_in_main: bool) -> tuple[bool,
 def parse(source: str) -> Page:
     page = Page()
     open_: list[int] = [0]
+    count: Counter[str] = Counter()  # of open elements, so that no tag looks for what isn't open
     at, block, n = 0, True, len(source)
 
     def close_to(depth: int) -> None:
         while len(open_) > depth:
-            page.end[open_.pop()] = len(page.name)
+            i = open_.pop()
+            page.end[i] = len(page.name)
+            count[page.name[i]] -= 1
 
     def add_text(raw: str) -> None:
         nonlocal block
@@ -147,7 +162,7 @@ def parse(source: str) -> Page:
         if name in BLOCK:
             block = True
         if m.group(1):
-            if name in VOID and name != "br":
+            if name in VOID and name != "br" or not count[name]:
                 continue
             for depth in range(len(open_) - 1, 0, -1):
                 held = page.name[open_[depth]]
@@ -157,7 +172,7 @@ def parse(source: str) -> Page:
                 if held in ("article", "main", "body", "table") and name in ("p", "b", "i", "em", "strong", "span", "a", "li", "font", "u", "small"):
                     break  # stray end tags don't close what holds them
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and count["p"]:
             for depth in range(len(open_) - 1, 0, -1):
                 held = page.name[open_[depth]]
                 if held == "p":
@@ -165,9 +180,11 @@ def parse(source: str) -> Page:
                     break
                 if held in BLOCK:
                     break
-        if name in CLOSES:
+        if name in CLOSES and any(count[c] for c in CLOSES[name]):
             stop = SCOPES.get(name, {"table"})
             for depth in range(len(open_) - 1, 0, -1):
+                if not any(count[c] for c in CLOSES[name]):
+                    break
                 held = page.name[open_[depth]]
                 if held in CLOSES[name]:
                     close_to(depth)
@@ -187,6 +204,7 @@ def parse(source: str) -> Page:
         if name in VOID or m.group(3).endswith("/") and name in ("br", "hr", "path"):
             continue
         open_.append(me)
+        count[name] += 1
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(source, at)
             stop = close.start() if close else n

@@ -169,6 +169,90 @@ def test_fingerprints():
     assert fingerprints.fingerprint("ab" * 50_000).count(":") == 2
 
 
+def test_fingerprint_is_the_plain_form():
+    """Chunk by chunk: the window's hash, its cuts, and a character a chunk."""
+
+    def plain(text):
+        data = text.encode()
+        if not data:
+            return "3::"
+
+        def window(i):
+            h = 0
+            for k in range(min(7, i + 1)):
+                h += (data[i - k] + 1) * pow(fingerprints.ROLLING, k, 2**32)
+            h %= 2**32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % 2**32
+            return h ^ h >> 12
+
+        roll = [window(i) for i in range(len(data))]
+
+        def signed(block):
+            out, begin, cuts = "", 0, [i + 1 for i, r in enumerate(roll) if r % block == block - 1][: fingerprints.LONGEST - 1]
+            for stop in [*cuts, len(data)]:
+                if begin < stop:
+                    h = sum((b + 1) * pow(fingerprints.CHUNK, k, 2**64) for k, b in enumerate(data[begin:stop])) % 2**64
+                    h ^= h >> 31
+                    out += chr(fingerprints.ALPHABET[h * 0xBF58476D1CE4E5B9 % 2**64 >> 58])
+                begin = stop
+            return out
+
+        block = 3
+        while block * 64 < len(data):
+            block *= 2
+        while block > 3 and sum(r % block == block - 1 for r in roll) < 32:
+            block //= 2
+        # the wider signature cuts at a part of the narrower one's cuts
+        assert all(r % block == block - 1 for r in roll if r % (2 * block) == 2 * block - 1)
+        return f"{block}:{signed(block)}:{signed(2 * block)}"
+
+    for t in ["", "a", "é" * 40, "the quick brown fox", *("".join(RNG.choice("abcde \n") for _ in range(RNG.randrange(3000))) for _ in range(30)), "x" * 500]:
+        assert fingerprints.fingerprint(t) == plain(t)
+
+
+def test_kernel_ridge_is_the_plain_form():
+    """With every text a landmark: the square root of the kernel matrix as features, and the weighted ridge
+    as ordinary least squares with a row of penalty for each feature."""
+    texts = ["the cat sat", "the dog ran on", "a cat and a dog", "der Hund lief", "die Katze sass", "le chat noir", "un chien et un chat"]
+    names = ["en", "en", "en", "de", "de", "fr", "fr"]
+    rows = np.stack([language.presence(t) for t in texts])
+    grams = [set(np.flatnonzero(r).tolist()) for r in rows]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    value, vector = np.linalg.eigh(kernel)
+    feature = vector @ np.diag(np.sqrt(value)) @ vector.T
+    weight = np.array([1 / names.count(n) for n in names])
+    weight /= weight.sum()
+    target = np.array([[float(n == m) for m in ("de", "en", "fr")] for n in names])
+    middle, centre = weight @ target, weight @ feature
+    a = np.vstack([np.sqrt(weight)[:, None] * (feature - centre), np.sqrt(language.RIDGE / len(rows)) * np.eye(len(rows))])
+    beta = np.linalg.lstsq(a, np.vstack([np.sqrt(weight)[:, None] * (target - middle), np.zeros((len(rows), 3))]), rcond=None)[0]
+    model = language.fit(rows, names)
+    assert model.languages == ["de", "en", "fr"]
+    assert np.allclose(model.scores(rows), (feature - centre) @ beta + middle, atol=1e-3)
+    assert model.predict(texts)[0] == names
+
+
+def test_bins_are_the_plain_form():
+    """Largest first, each to the shard that can take it with the highest dot product of item and residual."""
+    rng = np.random.default_rng(4)
+    for n, shards in ((120, 5), (3, 4), (40, 1)):
+        v = rng.integers(1, 50, (n, 3)).astype(float)
+        total = [sum(x[d] for x in v.tolist()) for d in range(3)]
+        item = [[x[d] / total[d] for d in range(3)] for x in v.tolist()]
+        left = [[1 / shards] * 3 for _ in range(shards)]
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(item[i]), i)):
+            able = [k for k in range(shards) if all(left[k][d] >= item[i][d] - 1e-12 for d in range(3))]
+            if able:
+                best = max(able, key=lambda k: (round(sum(left[k][d] * item[i][d] for d in range(3)), 12), -k))
+            else:
+                best = max(range(shards), key=lambda k: (round(min(left[k][d] - item[i][d] for d in range(3)), 12), -k))
+            want[i] = best
+            left[best] = [left[best][d] - item[i][d] for d in range(3)]
+        assert sharding.place(v, shards).tolist() == want
+
+
 def test_kernel_is_the_count_of_common_grams():
     rows = np.stack([language.presence(t) for t in ("the cat", "the dog", "der Hund")])
     c = language.Classifier(["x"], (rows[1:2].astype(np.float32) / np.sqrt(rows[1].sum())), np.ones((1, 1), np.float32), np.zeros(1, np.float32))
@@ -191,7 +275,8 @@ def test_trees_are_exact_at_factor_one():
     want = np.argsort(-(q @ x.T), axis=1)[:, :7]
     assert [set(r) for r in best.row] == [set(w) for w in want]
     loose = nearest.search(tree, points, nearest.aim(q), 7, np.full(40, np.inf), 3.0)
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(loose.row, want)]) <= 7
+    common = np.mean([len(set(a) & set(b)) for a, b in zip(loose.row, want)]) / 7
+    assert 0.5 < common < 1.0 and (np.mean([len(set(a) & set(b)) for a, b in zip(nearest.search(tree, points, nearest.aim(q), 7, np.full(40, np.inf), 1.2).row, want)]) / 7 >= 0.9)
     where = nearest.assign(tree, points)
     assert set(where) <= set(nearest.leaves(tree))
 
@@ -217,6 +302,35 @@ def test_main_text(source, text):
     assert html.main_text(page, html.keep_main(page), set()) == text
 
 
+@pytest.mark.parametrize(
+    "inside,text",
+    [
+        ('<h2 class="header">Title</h2><p>x</p>', "Title x"),
+        ('<div class="related-work">We follow Smith.</div><div class="related-posts">More</div>', "We follow Smith."),
+        ("<label>Sample</label> <math>a+b</math><form><label>Name</label><input></form>", "Sample a+b"),
+        ('<div class="header"><h1>T</h1></div><div class="share-buttons">share</div><section class="reader-comments">c</section>', "T"),
+        ('<p class="notice">We use cookies</p><p id="comment-list">c</p><p class="search-results">Found</p><div class="ad">buy</div>', "Found"),
+    ],
+)
+def test_what_an_article_keeps(inside, text):
+    for tag in ("article", "main"):
+        page = html.parse(f"<body><div class='header'>site</div><{tag}>{inside}</{tag}></body>")
+        assert html.main_text(page, html.keep_main(page), set()) == text
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    for part in ("<b><i></u>", "<b><hr>", "<b><td>", "<i><li>", "<div><p><b>", "</p>", "<table><td><b>"):
+        took = []
+        for n in (4000, 16_000):
+            began = time.perf_counter()
+            page = html.parse(part * n)
+            took.append(time.perf_counter() - began)
+            assert page.end[0] == len(page.name) and all(i < e <= page.end[p] for i, (e, p) in enumerate(zip(page.end, page.parent)) if i)
+        assert took[1] < 12 * took[0] + 0.2, part  # four times the input; a square would be sixteen times
+
+
 def test_archives(tmp_path):
     made = [warc.record(i, "http://e.org/ü x\r\n", hashlib.sha256(p).hexdigest(), p, None if i != 2 else 0, "2026-01-01T00:00:00Z") for i, p in enumerate([b"", b"<p>\xc3\xa9</p>", b"x" * 200, b"y" * 300_000])]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(made))
