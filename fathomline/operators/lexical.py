@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.numeric import idf
 from ..functions.text import tokens
-from ..sources.store import written
+from ..sources.store import spread, written
 
 #: Fixed values of the lexical ranker.
 K1, B = 1.2, 0.75
@@ -50,21 +56,62 @@ def bm25(queries: DataFrame, docs: DataFrame, query_key: str, doc_key: str) -> D
     that a query repeats counts as often.  Documents are tokenised once; only terms that some query asks
     for are counted and joined."""
     asked = written(queries.select(query_key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25-asked")
-    bags = docs.select(doc_key, tokens(F.col("text")).alias("bag")).select(doc_key, F.size("bag").alias("len"), kept_tokens(F.col("bag"), asked).alias("kept"))
+    bags = spread(docs.select(doc_key, "text")).select(doc_key, tokens(F.col("text")).alias("bag")).select(doc_key, F.size("bag").alias("len"), kept_tokens(F.col("bag"), asked).alias("kept"))
     bags = written(bags, "bm25-bags")
     facts = bags.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).first()
     posted = counted_terms(bags.where(F.size("kept") > 0), asked, [doc_key])
     frequency = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = asked.join(frequency, "term").withColumn("idf", idf(F.lit(float(facts.n)), F.col("df")))
-    scored = posted.join(asked, "term").withColumn("s", F.col("qtf") * F.col("idf") * saturated(F.lit(facts.avg_len or 1.0)))
+    asked = written(asked.join(frequency, "term").withColumn("w", F.col("qtf") * idf(F.lit(float(facts.n)), F.col("df"))).select(query_key, "term", "w"), "bm25-weights")
+    size = asked.agg(F.count_distinct(query_key).alias("q"), F.count_distinct("term").alias("t")).first()
+    if size.q * size.t <= DENSE:
+        return multiplied(bags, asked, query_key, doc_key, facts.avg_len or 1.0)
+    scored = posted.join(asked, "term").withColumn("s", F.col("w") * saturated(F.lit(facts.avg_len or 1.0)))
     return scored.groupBy(query_key, doc_key).agg(F.sum("s").alias("score"))
 
 
+#: Queries times their terms up to which scores are matrix products (8 bytes each); beyond, they are joins.
+DENSE = 4_000_000
+
+
+def multiplied(bags: DataFrame, asked: DataFrame, query_key: str, doc_key: str, avg_len: float) -> DataFrame:
+    """query_key, doc_key, score: the saturated counts of a batch of documents times the weights of all
+    queries (query_key, term, w; at most DENSE in all), so that nothing is shuffled."""
+    rows = asked.collect()  # at most DENSE, most of them far apart
+    ids, terms = sorted({r[0] for r in rows}), sorted({r.term for r in rows})
+    number, place = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(terms)}
+    weights = np.zeros((len(terms), len(ids)))
+    for r in rows:
+        weights[place[r.term], number[r[0]]] = r.w
+    kinds = dict(asked.dtypes) | dict(bags.dtypes)
+    schema = f"{query_key} {kinds[query_key]}, {doc_key} {kinds[doc_key]}, score double"
+    of = {c: bags.select(c).schema[0].dataType for c in (doc_key,)} | {query_key: asked.schema[query_key].dataType}
+    kind = {c: to_arrow_type(t) for c, t in of.items()}
+    shared = asked.sparkSession.sparkContext.broadcast((pa.array(ids, kind[query_key]), pa.array(terms, pa.string()), weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, w = shared.value
+        step = max(1, DENSE // max(1, len(known)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                kept = b.column(2)
+                owner = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(kept), 0).to_numpy(zero_copy_only=False))
+                found = pc.index_in(kept.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                real = ~np.isnan(found) if found.dtype.kind == "f" else np.ones(len(found), dtype=bool)
+                tf = np.bincount(owner[real] * len(known) + found[real].astype(np.int64), minlength=b.num_rows * len(known)).reshape(b.num_rows, len(known)).astype(float)
+                length = b.column(1).to_numpy(zero_copy_only=False).astype(float)[:, None]
+                score = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))) @ w
+                doc, query = np.nonzero(score)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), b.column(0).take(pa.array(doc)), pa.array(score[doc, query])], names=[query_key, doc_key, "score"])
+
+    return bags.where(F.size("kept") > 0).select(doc_key, "len", "kept").mapInArrow(run, schema)
+
+
 def bm25_per_task(candidates: DataFrame) -> DataFrame:
     """candidates (task, path, query, text) with score: counts and lengths over each task's candidates only."""
     asked = candidates.groupBy("task").agg(F.first("query").alias("query")).select("task", F.explode(tokens(F.col("query"))).alias("term"))
     asked = written(asked.groupBy("task", "term").agg(F.count(F.lit(1)).alias("qtf")), "bm25-asked")
-    bags = candidates.select("task", "path", tokens(F.col("text")).alias("bag"))
+    bags = spread(candidates.select("task", "path", "text")).select("task", "path", tokens(F.col("text")).alias("bag"))
     bags = written(bags.select("task", "path", F.size("bag").alias("len"), kept_tokens(F.col("bag"), asked).alias("kept")), "bm25-bags")
     per = bags.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     terms = counted_terms(bags, asked, ["task", "path"]).join(asked, ["task", "term"])
@@ -93,7 +140,7 @@ def hits(rank: Column | str = "gold_rank") -> list[Column]:
 
 def grep_ranked(terms: DataFrame, docs: DataFrame, by: str, key: str) -> DataFrame:
     """terms (by, term) against the words of docs: distinct terms matched, then matches, then shorter text."""
-    words = docs.select(key, F.length("text").alias("size"), F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("term"))
+    words = spread(docs.select(key, "text")).select(key, F.length("text").alias("size"), F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("term"))
     counted = words.groupBy(key, "size", "term").agg(F.count(F.lit(1)).alias("c"))
     matched = terms.join(counted, "term").groupBy(by, key, "size").agg(F.count(F.lit(1)).alias("terms"), F.sum("c").alias("total"))
     w = Window.partitionBy(by).orderBy(F.desc("terms"), F.desc("total"), "size", key)

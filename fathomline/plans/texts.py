@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code, paths, text
+from ..sources.store import spread
 from .registry import query
 
 #: Each document as a file of its source; extensions by id, some of them tests or vendored.
@@ -244,4 +245,4 @@ def word_pieces(spark, sf_dir):
 
 @query("hash_encode")
 def hash_encode(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", code.hash_encode_udf(256)("text").alias("v"))
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", code.hash_encode_udf(256)("text").alias("v"))

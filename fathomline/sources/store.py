@@ -28,6 +28,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew where it has fewer partitions than the cluster has cores: a file of one row group is one
+    task, however much is done with each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Versions:
     """Numbered versions of a table under a folder.  A version is written aside and then renamed, so that
     readers see whole versions only; the highest serves.  One writer at a time."""

@@ -198,3 +198,18 @@ def test_bars_and_merges(spark):
     assert {(r.measure, r.n) for r in usage.merged_counts(counts).collect()} == {("calls", 7), ("session", 1)}
     repos = spark.createDataFrame([("a", "m", 5), ("c", "b", 5), ("d", "z", 9)], "root string, name string, queries long")
     assert [(r.name, r.n) for r in usage.with_agent_counts(usage.busiest(repos, 2), counts.where("measure = 'calls'")).orderBy("name").collect()] == [("b", None), ("z", None)]
+
+
+def test_bm25_by_products_and_by_joins(spark, monkeypatch):
+    from fathomline.operators import lexical
+
+    d = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a dog"), (3, None), (4, ""), (5, "cat and dog and cat"), (5, "cat and dog and cat")], "doc_id long, text string")
+    q = spark.createDataFrame([(10, "cat cat dog"), (11, "unknown"), (12, "the")], "item_id long, text string")
+    rows = lambda: sorted((r.item_id, r.doc_id, round(r.score, 9)) for r in lexical.bm25(q, d, "item_id", "doc_id").collect())
+    products = rows()
+    assert {(i, j) for i, j, _ in products} == {(10, 1), (10, 2), (10, 5), (12, 1)}
+    once = d.where("doc_id <> 5")
+    monkeypatch.setattr(lexical, "DENSE", 0)
+    by_join = sorted((r.item_id, r.doc_id, round(r.score, 9)) for r in lexical.bm25(q, once, "item_id", "doc_id").collect())
+    monkeypatch.undo()
+    assert by_join == sorted((r.item_id, r.doc_id, round(r.score, 9)) for r in lexical.bm25(q, once, "item_id", "doc_id").collect()) and by_join
