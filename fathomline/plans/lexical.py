@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import lexical as L
+from ..sources.store import spread
 from .registry import query
 from .texts import TOKENS, documents
 
@@ -59,7 +60,7 @@ def gold(spark, sf_dir):
     """The passages are looked for in every document first, so that only documents that hold one meet ranks."""
     b = benchmark(spark, sf_dir)
     passages = b.select("item_id", F.col("text").alias("passage"))
-    d = documents(spark, sf_dir).select("doc_id", "text")
+    d = spread(documents(spark, sf_dir).select("doc_id", "text"))
     r = ranked(spark, sf_dir).select("item_id", "doc_id", "rank")
     if passages.count() <= BROADCAST_PASSAGES:
         holds = d.join(F.broadcast(passages), F.contains("text", "passage")).select("item_id", "doc_id")
