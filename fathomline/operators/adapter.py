@@ -111,7 +111,7 @@ def fit_per_repository(examples: DataFrame, documents: DataFrame, params: Params
     def one(key, e: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         docs, e = docs.sort_values("doc"), e.sort_values("n")
         if len(docs) < 2 or len(e) < LEAST:
-            return pd.DataFrame({"repo": [], "revision": [], "examples": [], "weights": []})
+            return pd.DataFrame(columns=["repo", "revision", "examples", "weights"], dtype=object)
         number = {d: i for i, d in enumerate(docs.doc)}
         positives = [number[p] for p in e.pos]
         negatives = sample_negatives(positives, len(docs), params.negatives, seed)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ SOURCE_BYTES, CONFIG_BYTES = 400_000, 200_000
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """path, cid and kind of the indexable files below a folder; versions are time and size."""
+    """path, cid and kind of the indexable files below a folder of any storage; versions are time and size.
+    Spark's listing leaves out empty files (``git.plain_files`` gives them on a local disk)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
     relative = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("file://", "") + "/", "")
     named = found.select(relative.alias("path"), F.concat(F.lit("m"), F.unix_micros("modificationTime"), F.lit("-"), "length").alias("cid"))
@@ -31,6 +34,29 @@ def texts(spark: SparkSession, root: str, most: int = SOURCE_BYTES) -> DataFrame
     return found.select("path", F.decode(F.substring("content", 1, most), F.lit("UTF-8")).alias("text"))
 
 
+def working_texts(wanted: DataFrame) -> DataFrame:
+    """repo, path, cid, kind and text of files of working trees (repo, path, cid, kind), cut at the bytes of their kind;
+    those that can't be read are left out.  A file at a time is held beside 200 finished rows."""
+    columns = ["repo", "path", "cid", "kind", "text"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            held: list[tuple] = []
+            for repo, path, cid, kind in zip(f.repo, f.path, f.cid, f.kind):
+                try:
+                    with open(os.path.join(repo, path), "rb") as file:
+                        body = file.read(SOURCE_BYTES if kind == "source" else CONFIG_BYTES)
+                except OSError:
+                    continue
+                held.append((repo, path, cid, kind, body.decode("utf-8", "replace")))
+                if len(held) == 200:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = []
+            yield pd.DataFrame(held, columns=columns)
+
+    return wanted.select("repo", "path", "cid", "kind").mapInPandas(run, "repo string, path string, cid string, kind string, text string")
+
+
 def usage_log(spark: SparkSession, paths: str | list[str], now: int | None = None) -> DataFrame:
     """Answers logged as JSON lines, with the file as ``source``; broken lines are left out, old ones too if now is given."""
     df = spark.read.schema(USAGE).option("mode", "DROPMALFORMED").json(paths).withColumn("source", F.input_file_name())

@@ -3,7 +3,7 @@
     spark.dataSource.register(GitSource)
     spark.read.format("git").option("repositories", "a,b").option("table", "files").load()
 
-Tables: files (working tree), commits (no merges, newest first), graph (all commits with their parents,
+Tables: files (working tree, or any folder without git), commits (no merges, newest first), graph (all commits with their parents,
 parents first), trees (blobs of the revisions).  ``trees_of`` and ``texts_of`` give the trees and blob
 texts that a frame asks for.
 """
@@ -11,6 +11,7 @@ texts that a frame asks for.
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import threading
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.paths import kind
+from ..functions.paths import NEVER_INDEXED, kind
 
 SCHEMAS = {
     "files": "repo string, path string, cid string",
@@ -32,6 +33,7 @@ SCHEMAS = {
 MOST_BYTES = 400_000
 RECORD, FIELD = "\x1e", "\x1f"
 LINK_MODE = "120000"
+NEVER = re.compile(NEVER_INDEXED)
 
 
 def git(root: str, *args: str) -> str:
@@ -63,6 +65,19 @@ def files(root: str) -> Iterator[tuple[str, str]]:
             yield path, blob or version(full)
 
 
+def plain_files(root: str) -> Iterator[tuple[str, str]]:
+    """(path, version) of the files below a folder without git: folders that are never indexed are not entered,
+    links not followed."""
+    for at, folders, names in os.walk(root):
+        inside = os.path.relpath(at, root)
+        prefix = "" if inside == "." else inside.replace(os.sep, "/") + "/"
+        folders[:] = sorted(f for f in folders if not NEVER.search(f"{prefix}{f}/") and not os.path.islink(os.path.join(at, f)))
+        for name in sorted(names):
+            full = os.path.join(at, name)
+            if os.path.isfile(full) and not os.path.islink(full):
+                yield prefix + name, version(full)
+
+
 def commits(root: str, limit: int, rev: str = "HEAD") -> Iterator[tuple]:
     """Newest first, merges left out: (n, sha, date, subject, body, first parent or null, paths)."""
     fields = "%x1f".join(("%x1e%H", "%aI", "%s", "%b", "%P", ""))
@@ -155,7 +170,7 @@ class GitReader(DataSourceReader):
         root, table = partition.root, self.options.get("table", "files")
         rev = self.options.get("rev", "HEAD")
         if table == "files":
-            rows = files(root)
+            rows = files(root) if os.path.exists(os.path.join(root, ".git")) else plain_files(root)
         elif table == "commits":
             rows = commits(root, int(self.options.get("limit", "600")), rev)
         elif table == "graph":
