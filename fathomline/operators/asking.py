@@ -8,7 +8,7 @@ in batches and never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +21,13 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import text
 from ..functions.numeric import dot
 from ..functions.paths import basename, is_auxiliary, path_prior
+from ..sources.store import written
 from . import adapter as A
 from . import encoders as E
 from . import ranking as R
 
+Texts = DataFrame | Callable[[DataFrame], DataFrame]
+
 #: Candidates whose texts are searched for literals, words that ask for a configuration, and messages.
 SEARCHED = 50
 CONFIG_WORDS = "config configuration docker yaml toml manifest settings".split()
@@ -60,21 +63,23 @@ def unanswered(queries: DataFrame, state: str, reason: str | None, fallback: boo
     return queries.select("q_id", *[c.alias(n) for n, c in cells.items()])
 
 
-def exact_evidence(asked: DataFrame, files: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+def exact_evidence(asked: DataFrame, files: DataFrame, candidates: DataFrame, texts: Texts) -> DataFrame:
     """q_id, path of exact evidence: literals of the query that name a file, or that the texts of its
     candidates hold."""
     literals = asked.select("q_id", F.explode(text.query_literals(F.col("query"))).alias("literal"))
     named = literals.join(files.select("path", basename(F.col("path")).alias("literal")), "literal").select("q_id", "path", F.lit("").alias("text"))
-    read = candidates.join(literals.select("q_id").distinct(), "q_id", "left_semi").join(texts.select("path", "text"), "path").select("q_id", "path", "text")
+    read = candidates.join(literals.select("q_id").distinct(), "q_id", "left_semi").select("q_id", "path")
+    texts = texts(read.select("path").distinct()) if callable(texts) else texts
+    read = read.join(texts.select("path", "text"), "path").select("q_id", "path", "text")
     return R.exact_files(literals, named.unionByName(read))
 
 
 def ask(
-    queries: DataFrame, index: DataFrame, encoder: E.Encoder, texts: DataFrame | None = None, adapter: dict | None = None, options: Options = Options(), serving: bool = True
+    queries: DataFrame, index: DataFrame, encoder: E.Encoder, texts: Texts | None = None, adapter: dict | None = None, options: Options = Options(), serving: bool = True
 ) -> DataFrame:
     """q_id, state, reason, fallback, adapter, revision, hints and answer of each query.
 
-    ``adapter`` has weights, base (fingerprint), dim and revision.  A query without any text is an error;
+    ``texts`` is a frame, or gives one for the paths (a frame) that are to be read.  ``adapter`` has weights, base (fingerprint), dim and revision.  A query without any text is an error;
     an index that can't serve, or holds nothing, answers with its state.  A reason not to answer is
     overridden by exact evidence, and then only exact rows are shown; behind the start gate there is none.
     """
@@ -97,17 +102,19 @@ def ask(
     asked = asked.withColumn("q", E.vector_of(encoder)(E.query_text(encoder, F.col("query"), F.col("context"))))
     if uses:
         asked = asked.withColumn("q", adapted(np.asarray(adapter["weights"], dtype=np.float32).reshape(encoder.dim, encoder.dim))("q"))
-    asked = asked.withColumn("query_kind", text.query_kind(F.col("query"), F.col("context")))
+    # written: each query is encoded once, however many parts of the answer look at its vector
+    asked = written(asked.withColumn("query_kind", text.query_kind(F.col("query"), F.col("context"))), "asked")
 
     # what the prior holds back and what it doesn't are ranked apart, so the best of either are at hand
     files = index.where("kind = 'file'")
     held_back = path_prior(F.col("path"), F.lit("x")) < 0
     most = max(SEARCHED, o.k, 2)
     pool = R.nearest_rows(asked, files.where(held_back), most, key="path").unionByName(R.nearest_rows(asked, files.where(~held_back), most, key="path")).drop("rank")
+    pool = written(pool, "ask-pool")  # a hundred rows a query; the index is read once
     raw = R.top(pool, most)
     exact = None
     if texts is not None and o.start_min_files is None:
-        exact = exact_evidence(asked, files, raw, texts)
+        exact = written(exact_evidence(asked, files, raw, texts), "ask-exact")
         far = exact.join(files.select("path", "v"), "path").join(asked.select("q_id", "q"), "q_id").select("q_id", "path", dot("q", "v").alias("similarity"))
         pool = pool.unionByName(far.join(pool.select("q_id", "path"), ["q_id", "path"], "left_anti"))
 

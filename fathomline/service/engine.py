@@ -216,7 +216,10 @@ class Engine:
         began = time.monotonic()
         root = os.path.abspath(root)
         index = self.index(root, options.functions)
-        texts = files.working_texts(index.where("kind = 'file'").select(F.lit(root).alias("repo"), "path", "cid", F.lit("source").alias("kind"))).select("path", "text")
+
+        def texts(paths: DataFrame) -> DataFrame:
+            return files.working_texts(paths.select(F.lit(root).alias("repo"), "path", F.lit("").alias("cid"), F.lit("source").alias("kind")))
+
         answers = written(asking.ask(queries, index, self.encoder, texts, self.adapters(root).load(), options), "answers")
         if log:
             blank = F.lit("")

@@ -98,7 +98,8 @@ def test_answers_and_logs(engine, place):
     before = engine.usage(one).read(now=NOW).count()
     got = engine.ask_one(one, "login token verification", options=Options(adapt=False))
     assert got["state"] == "ok" and got["hints"][0]["path"] == "src/auth.py"
-    engine.ask_one(one, "upload", log=False)
+    exact = engine.ask_one(one, "who calls verify_token here", log=False)
+    assert [(h["path"], h["exact"]) for h in exact["hints"]][:1] == [("src/auth.py", True)]
     rows = engine.usage(one).read(now=NOW).collect()
     assert len(rows) == before + 1 and rows[-1].hinted[0] == "src/auth.py" and rows[-1].model == "hash-256"
     both = engine.ask_below(str(top / "w"), "login token verification", options=Options(adapt=False))
