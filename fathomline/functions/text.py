@@ -146,17 +146,22 @@ def query_kind(query: Column, context: Column) -> Column:
 #: Exact fragments of a query: quoted text, identifiers, file:line; and words that are none.
 QUOTED = "[\"'`]([^\"'`\n]{8,120})[\"'`]"
 IDENTIFIER = r"\b([A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*(?:_[a-z0-9]+)+|[A-Za-z0-9_./-]+\.[A-Za-z0-9]+:\d+)\b"
+#: The same with ASCII words only, whatever letters of other scripts stand beside them.
+ASCII_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+ASCII_IDENTIFIER = IDENTIFIER.replace(r"\b", ASCII_EDGE)
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 NO_LITERALS = "TODO HTTP JSON".split()
 MOST_LITERALS = 12
 
 
-def query_literals(text: Column) -> Column:
+def query_literals(text: Column, identifier: str = IDENTIFIER) -> Column:
     """Exact fragments worth looking up, in order of appearance, then phrases of error lines; 12 at most."""
-    whole = F.regexp_extract_all(text, F.lit(f"{QUOTED}|{IDENTIFIER}"), F.lit(0))
-    bare = F.transform(whole, lambda x: F.btrim(F.when(x.rlike("^[\"'`]"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(F.split_part(x, F.lit(":"), F.lit(1)))))
+    trim = lambda x: F.btrim(x, F.lit(SPACES))
+    whole = F.regexp_extract_all(text, F.lit(f"{QUOTED}|{identifier}"), F.lit(0))
+    bare = F.transform(whole, lambda x: trim(F.when(x.rlike("^[\"'`]"), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(F.split_part(x, F.lit(":"), F.lit(1)))))
     found = F.filter(bare, lambda x: (F.octet_length(x) >= 4) & ~x.isin(NO_LITERALS))
-    errors = F.filter(F.transform(F.split(text, "\n"), F.btrim), lambda x: x.contains(":") & (F.split_part(x, F.lit(":"), F.lit(1)).rlike("panicked|Error|Exception|^(?i:panic)$")))
-    phrase = F.transform(errors, lambda x: F.btrim(F.element_at(F.split(F.btrim(F.substr(x, F.instr(x, ":") + 1)), "[.\n'\"`]"), 1)))
+    errors = F.filter(F.transform(F.split(text, "\n"), trim), lambda x: x.contains(":") & (F.split_part(x, F.lit(":"), F.lit(1)).rlike("panicked|Error|Exception|^(?i:panic)\\z")))
+    phrase = F.transform(errors, lambda x: trim(F.element_at(F.split(trim(F.substr(x, F.instr(x, ":") + 1)), "[.\n'\"`]"), 1)))
     phrases = F.filter(phrase, lambda x: (F.octet_length(x) >= 12) & (F.octet_length(x) <= 120))
     return F.slice(F.array_distinct(F.concat(found, phrases)), 1, MOST_LITERALS)
 

@@ -1,10 +1,12 @@
 """Inline cases of paths, texts, code and commands."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import code, commands, numeric, paths, text
+from fathomline.plans import registry
 
 
 def one(spark, *columns):
@@ -72,6 +74,19 @@ def test_literals(spark):
     assert one(spark, text.query_literals(F.lit(t)))[0] == ["an exact phrase", "parse_config", "HttpClient", "lib/io.py", "TypeError", "unexpected end of input"]
 
 
+def test_literals_beside_other_letters_as_in_sql(spark, tmp_path):
+    """SQL's words are ASCII: a name may begin or end beside a letter of another script; null texts count as empty."""
+    texts = ["Gr\u00f6\u00dfSSen und ma\u00dfSTz_", "\u00e9parse_it\u00e9", "\u00fclib/a.py:1\u0663", "\u0301HttpServer\u0301", "say '\u00a0an odd phrase\u3000'", "\u2003FooError: many words of one line\u00a0.", None]
+    folder = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["query_literals"]).fetchall())
+    got = sorted(tuple(r) for r in registry.queries()["query_literals"](spark, str(tmp_path)).collect())
+    assert got == want and want[0][2].startswith("SSen|")
+    assert one(spark, text.query_literals(F.lit("ma\u00dfSSen")))[0] == []  # elsewhere letters of any script make words
+
+
 def test_history_body(spark):
     got = one(spark, text.history_body(F.lit(" Fix x "), F.lit("\n\n why \nmore")), text.history_body(F.lit("s"), F.lit("b" * 200)), text.history_body(F.lit("s"), F.lit(None).cast("string")))
     assert tuple(got) == ("Fix x\nwhy", "s", "s")
