@@ -20,8 +20,7 @@ Equal lines are told by 64-bit hashes.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +86,22 @@ def bucket(word: Column) -> Column:
     return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
+def rarity(counts: DataFrame) -> list[int]:
+    """The class of each bucket by its words' count c.  BUCKETS rows at most reach the driver, as columns: as
+    rows they would take some hundred bytes each."""
+    table = counts.toArrow()
+    classes = np.zeros(BUCKETS, dtype=np.int64)
+    classes[table["b"].to_numpy()] = 16 * np.log2(table["c"].to_numpy() + 1)
+    return classes.tolist()
+
+
 def line_sets(reps: DataFrame, classes: list[int]) -> DataFrame:
     """Of each distinct line: lid, k, n, parity and prefix.
 
     A token is its rarity class above HASH_BITS bits of hash, so tokens sort by rarity."""
-    held = F.from_json(F.lit("[" + ",".join(str(c << HASH_BITS) for c in classes) + "]"), T.ArrayType(T.LongType(), False))  # BUCKETS numbers
-    rank = lambda x: F.get(held, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64 - HASH_BITS)))
+    held = F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), T.ArrayType(T.IntegerType(), False))  # BUCKETS numbers
+    seat = lambda x: F.coalesce(F.get(held, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long")
+    rank = lambda x: F.call_function("shiftleft", seat(x), F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64 - HASH_BITS)))
     hashed = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
     sets = reps.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), rank)))).withColumn("n", F.size("tokens"))
     return sets.select(
@@ -148,10 +157,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """k, rk, line_no of every line that goes."""
     reps, copies = distinct_lines(docs, key, text)
     counts = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    classes = [0] * BUCKETS
-    for x in counts.collect():  # at most BUCKETS rows
-        classes[x.b] = int(16 * math.log2(x.c + 1))
-    sets = written(line_sets(reps, classes), "line-sets")
+    sets = written(line_sets(reps, rarity(counts)), "line-sets")
     covered = written(verified(leaders(sets), reps), "line-covered")
 
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
