@@ -12,7 +12,7 @@ difference, so the result doesn't depend on an order of work.
    that a group of thousands of variants of a line costs a pair a member.  Lines that this removes don't
    probe.
 4. The others meet all earlier lines on their prefix words, under the length filter, the positional
-   filter and a 128-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
+   filter and a 64-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
 5. What remains is verified on the words themselves.
 
 Equal lines are told by 64-bit hashes.
@@ -75,11 +75,9 @@ def index_length(n: Column) -> Column:
     return n - F.floor((8 * n + 8) / F.lit(9)) + 1
 
 
-def _bits(tokens: Column, half: int) -> Column:
-    """One half of the parity bitmap: a token flips the bit that 7 bits of its hash name."""
-    here = lambda x: F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(1))
-    flip = lambda x: here(x) if half else F.lit(1) - here(x)
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", flip(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+def parity(tokens: Column) -> Column:
+    """A token flips the bit that 6 bits of its hash name."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def bucket(word: Column) -> Column:
@@ -102,20 +100,14 @@ def line_sets(reps: DataFrame, classes: list[int]) -> DataFrame:
     held = F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), T.ArrayType(T.IntegerType(), False))  # BUCKETS numbers
     seat = lambda x: F.coalesce(F.get(held, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long")
     rank = lambda x: F.call_function("shiftleft", seat(x), F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64 - HASH_BITS)))
-    hashed = F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
-    sets = reps.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), rank)))).withColumn("n", F.size("tokens"))
-    return sets.select(
-        "lid", "k", "n",
-        _bits(F.col("tokens"), 0).alias("b1"),
-        _bits(F.col("tokens"), 1).alias("b2"),
-        F.slice("tokens", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix"),
-    )
+    hashed = F.array_distinct(F.array_remove(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    sets = reps.withColumn("tokens", F.sort_array(F.transform(hashed, rank))).withColumn("n", F.size("tokens"))
+    return sets.select("lid", "k", "n", parity(F.col("tokens")).alias("bits"), F.slice("tokens", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix"))
 
 
-def _alike(na: Column, nb: Column, a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+def _alike(na: Column, nb: Column, a: Column, b: Column) -> Column:
     """Length and parity filters."""
-    apart = F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (apart <= na + nb - 2 * least_overlap(na + nb))
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (F.bit_count(a.bitwiseXOR(b)) <= na + nb - 2 * least_overlap(na + nb))
 
 
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -134,10 +126,10 @@ def distinct_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
     lines = lines_of(docs, key, text)
     at = F.struct("k", "rk", "line_no")
     again = written(lines.groupBy("lid").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("c")).where("c > 1").select("lid", "at"), "line-copies")
-    marked = lines.join(_broadcast_if_small(again), "lid", "left").withColumn("first", F.coalesce(F.col("at") == at, F.lit(True)))
-    marked = written(marked.select("lid", "k", "rk", "line_no", "first", F.when(F.col("first"), F.col("norm")).alias("norm")), "lines")
+    marked = lines.join(_broadcast_if_small(again), "lid", "left").withColumn("often", F.col("at").isNotNull()).withColumn("first", F.coalesce(F.col("at") == at, F.lit(True)))
+    marked = written(marked.select("lid", "k", "rk", "line_no", "often", "first", F.when(F.col("first"), F.col("norm")).alias("norm")), "lines")
     reps = marked.where("first").select("lid", "k", "rk", "line_no", "norm")
-    if not reps.groupBy("lid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():  # rows that agree in key and text
+    if not marked.where("first and often").groupBy("lid").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():  # rows that agree in key and text
         reps = written(reps.dropDuplicates(["lid"]), "lines-once")
     return reps, marked.where("not first").select("k", "rk", "line_no")
 
@@ -147,9 +139,9 @@ def leaders(sets: DataFrame) -> DataFrame:
     pair = lambda i: F.xxhash64(F.element_at("prefix", i), F.get("prefix", i))
     m = F.explode(F.transform(F.sequence(F.lit(1), F.least(index_length(F.col("n")), F.lit(KEYS)).cast("int")), pair)).alias("m")
     first = sets.select("lid", "k", m).groupBy("m").agg(F.min_by("lid", "k").alias("lid"), F.count(F.lit(1)).alias("c")).where("c > 1")  # where keys tie, any
-    lead = first.select("m", "lid").join(sets.select("lid", "n", "b1", "b2"), "lid").toDF("y", "m", "y_n", "y_b1", "y_b2")
-    fits = _alike(F.col("n"), F.col("y_n"), F.col("b1"), F.col("b2"), F.col("y_b1"), F.col("y_b2"))
-    met = sets.select("lid", "n", "b1", "b2", m).join(lead, "m").where((F.col("lid") != F.col("y")) & fits)
+    lead = first.select("m", "lid").join(sets.select("lid", "n", "bits"), "lid").toDF("y", "m", "y_n", "y_bits")
+    fits = _alike(F.col("n"), F.col("y_n"), F.col("bits"), F.col("y_bits"))
+    met = sets.select("lid", "n", "bits", m).join(lead, "m").where((F.col("lid") != F.col("y")) & fits)
     return met.groupBy(F.col("lid").alias("x"), "y").agg(F.count(F.lit(1)).alias("times")).groupBy("x").agg(F.max_by("y", "times").alias("y"))
 
 
@@ -163,9 +155,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
     flagged = sets.join(_broadcast_if_small(covered.withColumn("covered", F.lit(True))), "lid", "left")
     size = F.when(F.col("covered"), -F.col("n")).otherwise(F.col("n"))
-    posted = flagged.select("lid", "k", size.alias("n"), "b1", "b2", F.posexplode("prefix").alias("i", "w"))
-    x = posted.select(*[F.col(c).alias(f"x_{c}") for c in ("lid", "k", "n", "b1", "b2", "i", "w")])
-    y = posted.select(*[F.col(c).alias(f"y_{c}") for c in ("lid", "k", "n", "b1", "b2", "i", "w")])
+    posted = flagged.select("lid", "k", size.alias("n"), "bits", F.posexplode("prefix").alias("i", "w"))
+    x = posted.select(*[F.col(c).alias(f"x_{c}") for c in ("lid", "k", "n", "bits", "i", "w")])
+    y = posted.select(*[F.col(c).alias(f"y_{c}") for c in ("lid", "k", "n", "bits", "i", "w")])
     xn, yn = F.col("x_n"), F.abs("y_n")
     need = least_overlap(xn + yn)
     found = x.join(
@@ -173,7 +165,7 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         (F.col("x_w") == F.col("y_w"))
         & (F.col("y_k") <= F.col("x_k"))
         & (F.col("x_lid") != F.col("y_lid"))
-        & _alike(xn, yn, F.col("x_b1"), F.col("x_b2"), F.col("y_b1"), F.col("y_b2"))
+        & _alike(xn, yn, F.col("x_bits"), F.col("y_bits"))
         & (F.least(xn - F.col("x_i"), yn - F.col("y_i")) >= need),
     ).select(F.col("x_lid").alias("x"), F.col("y_lid").alias("y"))
     similar = verified(found.distinct(), reps)
