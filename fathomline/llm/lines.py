@@ -12,7 +12,8 @@ difference, so the result doesn't depend on an order of work.
    that a group of thousands of variants of a line costs a pair a member.  Lines that this removes don't
    probe.
 4. The others meet all earlier lines on their prefix words, under the length filter, the positional
-   filter and a 128-bit parity of the word sets (its Hamming distance is at most the symmetric difference).
+   filter and a 128-bit parity of the word sets, 64 bits for the rarer words and 64 for the others (its
+   Hamming distance is at most the symmetric difference).
 5. What remains is verified on the words themselves.
 
 Equal lines are told by 64-bit hashes.
@@ -20,6 +21,9 @@ Equal lines are told by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +42,10 @@ BROADCAST_NUMBERS = 1_000_000
 KEYS = 8
 FIRST_KEY = -(2**63)
 HASH_BITS = 50
+#: What is trimmed from both ends of a line.
+BLANKS = " \t\r\u000b\u000c"
+#: Buckets that one row of the word counts holds: fewer rows than words are counted in a table that fits caches.
+LANES = 8
 
 
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -52,9 +60,11 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, rk, line_no, norm and lid of every line that isn't blank."""
-    lines = _rows(docs, key, text).select("k", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("k", "rk", "line_no", F.lower(F.btrim("line", F.lit(" \t\r\u000b\u000c"))).alias("norm")).where("norm <> ''")
-    return lines.withColumn("lid", F.xxhash64("norm"))
+    line = F.col("line")
+    padded = reduce(or_, [f(F.lit(c)) for c in BLANKS for f in (line.startswith, line.endswith)])
+    trimmed = F.when(padded, F.btrim(line, F.lit(BLANKS))).otherwise(line)  # btrim visits each character
+    lines = _rows(docs, key, text).select("k", "rk", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(trimmed != "")
+    return lines.select("k", "rk", "line_no", F.lower(trimmed).alias("norm")).withColumn("lid", F.xxhash64("norm"))
 
 
 def words(norm: Column) -> Column:
@@ -75,15 +85,22 @@ def index_length(n: Column) -> Column:
     return n - F.floor((8 * n + 8) / F.lit(9)) + 1
 
 
-def _bits(tokens: Column, half: int) -> Column:
-    """One half of the parity bitmap: a token flips the bit that 7 bits of its hash name."""
-    here = lambda x: F.call_function("shiftright", x, F.lit(6)).bitwiseAND(F.lit(1))
-    flip = lambda x: here(x) if half else F.lit(1) - here(x)
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", flip(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _parity(tokens: Column) -> Column:
+    """A token flips the bit that 6 bits of its hash name."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1))
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+
+
+def word_counts(reps: DataFrame) -> DataFrame:
+    """b and c of each bucket: the words of all lines in it."""
+    b = reps.select(F.explode(F.split("norm", " ")).alias("w")).select(bucket(F.col("w")).alias("b"))
+    lane = F.col("b").bitwiseAND(F.lit(LANES - 1))
+    rows = b.groupBy((F.col("b") - lane).alias("of")).agg(*[F.sum((lane == i).cast("long")).alias(f"c{i}") for i in range(LANES)])
+    return rows.select("of", F.posexplode(F.array(*[f"c{i}" for i in range(LANES)])).alias("i", "c")).select((F.col("of") + F.col("i")).alias("b"), "c")
 
 
 def rarity(counts: DataFrame) -> list[int]:
@@ -95,19 +112,32 @@ def rarity(counts: DataFrame) -> list[int]:
     return classes.tolist()
 
 
+def middle(classes: list[int]) -> int:
+    """The token below which about half of all words lie, by the classes of the buckets."""
+    weights = np.bincount(classes, weights=2.0 ** (np.asarray(classes) / 16) - 1)
+    upto = np.cumsum(weights)
+    c = int(np.searchsorted(upto, upto[-1] / 2))
+    share = (upto[c] - upto[-1] / 2) / weights[c] if weights[c] else 0
+    return (c << HASH_BITS) + int((1 - share) * (1 << HASH_BITS))
+
+
 def line_sets(reps: DataFrame, classes: list[int]) -> DataFrame:
     """Of each distinct line: lid, k, n, parity and prefix.
 
-    A token is its rarity class above HASH_BITS bits of hash, so tokens sort by rarity."""
-    held = F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), T.ArrayType(T.IntegerType(), False))  # BUCKETS numbers
-    seat = lambda x: F.coalesce(F.get(held, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long")
-    rank = lambda x: F.call_function("shiftleft", seat(x), F.lit(HASH_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", x, F.lit(64 - HASH_BITS)))
-    hashed = F.array_distinct(F.array_remove(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
-    sets = reps.withColumn("tokens", F.sort_array(F.transform(hashed, rank))).withColumn("n", F.size("tokens"))
+    A token is its rarity class above HASH_BITS bits of hash, so tokens sort by rarity.  Functions of lambdas run
+    interpreted, a call a node and word, so there is one for the tokens, and each word is in one half of the parity:
+    words rarer than the middle flip bits of b1, the others bits of b2."""
+    held = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # BUCKETS numbers
+    hashed = lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.lit(64 - HASH_BITS))
+    token = lambda w: F.call_function("shiftleft", held[bucket(w)], F.lit(HASH_BITS)).bitwiseOR(hashed(w))
+    tokens = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("norm", " "), ""), token)))
+    cut = F.lit(middle(classes)).cast("long")
+    sets = reps.select("lid", "k", tokens.alias("tokens"))
+    sets = sets.select("lid", "k", "tokens", F.size("tokens").alias("n"), (F.array_position(F.sort_array(F.array_append("tokens", cut)), cut) - 1).cast("int").alias("rarer"))
     return sets.select(
         "lid", "k", "n",
-        _bits(F.col("tokens"), 0).alias("b1"),
-        _bits(F.col("tokens"), 1).alias("b2"),
+        _parity(F.slice("tokens", F.lit(1), F.col("rarer"))).alias("b1"),
+        _parity(F.slice("tokens", F.col("rarer") + 1, F.col("n") - F.col("rarer"))).alias("b2"),
         F.slice("tokens", F.lit(1), prefix_length(F.col("n")).cast("int")).alias("prefix"),
     )
 
@@ -144,8 +174,8 @@ def distinct_lines(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Dat
 
 def leaders(sets: DataFrame) -> DataFrame:
     """x and y: of the first lines of x's keys that the filters let x meet, that met most often."""
-    pair = lambda i: F.xxhash64(F.element_at("prefix", i), F.get("prefix", i))
-    m = F.explode(F.transform(F.sequence(F.lit(1), F.least(index_length(F.col("n")), F.lit(KEYS)).cast("int")), pair)).alias("m")
+    pairs = F.array(*[F.xxhash64(F.get("prefix", F.lit(i)), F.get("prefix", F.lit(i + 1))) for i in range(KEYS)])
+    m = F.explode(F.slice(pairs, F.lit(1), F.least(index_length(F.col("n")), F.lit(KEYS)).cast("int"))).alias("m")
     first = sets.select("lid", "k", m).groupBy("m").agg(F.min_by("lid", "k").alias("lid"), F.count(F.lit(1)).alias("c")).where("c > 1")  # where keys tie, any
     lead = first.select("m", "lid").join(sets.select("lid", "n", "b1", "b2"), "lid").toDF("y", "m", "y_n", "y_b1", "y_b2")
     fits = _alike(F.col("n"), F.col("y_n"), F.col("b1"), F.col("b2"), F.col("y_b1"), F.col("y_b2"))
@@ -156,8 +186,7 @@ def leaders(sets: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, rk, line_no of every line that goes."""
     reps, copies = distinct_lines(docs, key, text)
-    counts = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    sets = written(line_sets(reps, rarity(counts)), "line-sets")
+    sets = written(line_sets(reps, rarity(word_counts(reps))), "line-sets")
     covered = written(verified(leaders(sets), reps), "line-covered")
 
     # the others against all earlier lines; a covered line has its size negated, which no probe passes
@@ -196,10 +225,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     lists = written(lists, "line-removed")
     few = lists.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()[0] <= BROADCAST_NUMBERS
     joined = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(FIRST_KEY)), rk: F.xxhash64(F.col(text))})
-    joined = joined.join(F.broadcast(lists) if few else lists, [k, rk], "left").withColumn(parts, F.split(F.col(text), "\n"))
+    joined = joined.join(F.broadcast(lists) if few else lists, [k, rk], "left").withColumn(parts, F.when(F.col(gone).isNotNull(), F.split(F.col(text), "\n")))
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     clean = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col(parts), i + 1)), "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.coalesce(F.size(parts), F.lit(0))).cast("long")
+    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    n_lines = F.coalesce(breaks + 1, F.lit(0)).cast("long")
     out = joined.withColumns({"n_lines": n_lines, "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"), new: clean})
     return out.select(*[F.col(new).alias(text) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_removed")
 

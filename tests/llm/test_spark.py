@@ -211,6 +211,31 @@ def test_rarity_and_line_sets_are_small(spark, monkeypatch):
     assert got[1].n == 2 and got[2].n == 1 and all(x >> lines.HASH_BITS == 400 for x in got[1].prefix)
 
 
+def test_line_work_per_word(spark):
+    """A word costs one lambda for its token and one for the parity, keys of leaders none; blanks at the ends only go
+    where there are any; the parity's distance is at most the symmetric difference, on either side of the middle."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 400)}" for _ in range(rng.randrange(1, 90))) for _ in range(120)]
+    reps = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "lid long, k long, norm string")
+    counts = {r.b: r.c for r in lines.word_counts(reps).collect() if r.c}
+    plain = reps.select(F.explode(F.split("norm", " ")).alias("w")).groupBy(lines.bucket(F.col("w")).alias("b")).count().collect()
+    assert counts == {r.b: r["count"] for r in plain}
+    classes = lines.rarity(lines.word_counts(reps))
+    sets = lines.line_sets(reps, classes)
+    shown = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert shown(sets).count("lambdafunction(") == 1 + 2 * 2 and "lambdafunction(" not in shown(lines.leaders(reps.select("lid", "k", F.lit(1).alias("n"), F.lit(0).alias("b1"), F.lit(0).alias("b2"), F.array(F.lit(1)).alias("prefix"))))
+    got = sorted(sets.collect())
+    words = [set(t.split()) for t in texts]
+    assert [r.n for r in got] == [len(w) for w in words] and any(r.b1 for r in got) and any(r.b2 for r in got)
+    ones = lambda x: bin(x & (2**64 - 1)).count("1")
+    for a, v in zip(got, words, strict=True):
+        for b, w in zip(got, words, strict=True):
+            assert ones(a.b1 ^ b.b1) + ones(a.b2 ^ b.b2) <= len(v ^ w)
+    ends = ["a b", " a b", "a\tb\t", "\r\u000b\u000cA b \r", " \t", "", "\u00a0a\u00a0", "\u3000\u00c9 "]
+    found = lines.lines_of(spark.createDataFrame([(1, "\n".join(ends))], "doc_id long, text string"), "doc_id", "text").collect()
+    assert [(r.line_no, r.norm) for r in sorted(found, key=lambda r: r.line_no)] == [(i, x.strip(" \t\r\v\f").lower()) for i, x in enumerate(ends) if x.strip(" \t\r\v\f")]
+
+
 def test_lines(docs, none):
     gone = brute_lines(ROWS)
     out = lines.dedup_lines(docs)
